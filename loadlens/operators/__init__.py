@@ -2,10 +2,10 @@
 
 from loadlens.operators.indexes import index_size_estimate, index_usage
 from loadlens.operators.jobs import (
+    add_snaps,
     job_group_summary,
     job_sql_attribution,
     job_sql_attribution_all,
-    snap_at,
 )
 from loadlens.operators.overview import sql_profile
 from loadlens.operators.profiling import table_profile
@@ -43,6 +43,7 @@ from loadlens.operators.validation import Dataset, validate_tables
 
 __all__ = [
     "Dataset",
+    "add_snaps",
     "buffer_summary",
     "corrupt_extents",
     "daily_connect_time",
@@ -65,7 +66,6 @@ __all__ = [
     "plan_stats_ash",
     "queries_by_text",
     "sessions_for_user",
-    "snap_at",
     "sql_common_info",
     "sql_executions",
     "sql_profile",

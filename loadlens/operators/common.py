@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Mapping
 from datetime import datetime
 
@@ -13,6 +14,43 @@ from loadlens.sources.store import SNAP_KEYS, prune_days
 
 Tables = Mapping[str, DataFrame]
 
+# Session setting: the most rows a side may have to be broadcast, and its default. The sides checked
+# against it have a few short columns, so a million rows stay well below 200 MB.
+SMALL_ROWS = "spark.loadlens.smallRows"
+SMALL_ROWS_DEFAULT = 1_000_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a join side is proven small enough to broadcast, by counting its rows.
+
+    Spark's own estimate of a filtered or aggregated side can be far too high, and by the time its
+    true size is known at run time the large side has already been shuffled.
+    """
+    limit = int(df.sparkSession.conf.get(SMALL_ROWS, str(SMALL_ROWS_DEFAULT)))
+    return limit > 0 and df.count() <= limit
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """The side with a broadcast hint if it is proven small; as it is otherwise."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows kept in the checkpoint folder, for a side that is used several times.
+
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session that
+    names none gets a temporary one; elsewhere the rows are then computed again on each use.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="loadlens-")
+        if folder is None:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
 
 def only(df: DataFrame, column: str, values: Iterable | None) -> DataFrame:
     """Rows whose column is one of the values; all rows when no values are given."""
@@ -20,14 +58,14 @@ def only(df: DataFrame, column: str, values: Iterable | None) -> DataFrame:
 
 
 def snapshots_between(
-    snapshot: DataFrame, btime: datetime | None, etime: datetime | None
+    snapshot: DataFrame, btime: datetime | None, etime: datetime | None, *columns: str
 ) -> DataFrame:
-    """Snapshots that begin inside the window; a side given as None is open."""
+    """Key and named columns of the snapshots that begin in the window; None leaves a side open."""
     if btime is not None:
         snapshot = snapshot.where(F.col("begin_interval_time") >= ts_lit(btime))
     if etime is not None:
         snapshot = snapshot.where(F.col("begin_interval_time") <= ts_lit(etime))
-    return snapshot
+    return snapshot.select(*SNAP_KEYS, *columns)
 
 
 def in_window(
@@ -39,12 +77,11 @@ def in_window(
 ) -> DataFrame:
     """Fact rows of the snapshots in the window, with the named snapshot columns added.
 
-    The join is on the full snapshot key. It carries no broadcast hint: the filtered, narrow
-    snapshot side is broadcast only while Spark finds it below the broadcast threshold, and is
-    sort-merge joined beyond it.
+    The join is on the full snapshot key: a broadcast join where the snapshots of the window are
+    proven few, and a sort-merge join, whose hot snapshots Spark splits at run time, beyond that.
     """
-    picked = snapshots_between(snapshot, btime, etime).select(*SNAP_KEYS, *columns)
-    return prune_days(fact, btime, etime).join(picked, SNAP_KEYS)
+    picked = snapshots_between(snapshot, btime, etime, *columns)
+    return prune_days(fact, btime, etime).join(broadcast_if_small(picked), SNAP_KEYS)
 
 
 def shared(names: Iterable[str], *frames: DataFrame) -> list[str]:

@@ -82,7 +82,7 @@ def index_size_estimate(
             half_up(estimate, 100, scale=MIB, digits=3).alias("estimated_index_size_mb"),
             half_up(estimate, F.col("bytes"), digits=2).alias("pct_used"),
         )
-        .orderBy(F.col("pct_used").asc_nulls_last())
+        .orderBy(F.col("pct_used").asc_nulls_last(), "index_owner", "index_name")
     )
 
 
@@ -183,4 +183,4 @@ def index_usage(
         "updates",
         "deletes",
         half_up(touched * F.lit(60_000_000), micros).alias("row_modified_per_minute"),
-    ).orderBy(F.col("index_total_mb").desc_nulls_last())
+    ).orderBy(F.col("index_total_mb").desc_nulls_last(), *key)

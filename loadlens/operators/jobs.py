@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.functions import half_up, like, range_text, ts_lit, whole_second
-from loadlens.operators.common import Tables, shared
+from loadlens.operators.common import Tables, broadcast_if_small, is_small, settled, shared
 
 # The shape of a job name of a parallel task, and the group part of it.
 JOB_NAME = r"^TASK\$_\d+_\d+$"
@@ -17,6 +17,8 @@ JOB_PREFIX = r"^TASK\$_\d+"
 # What a row of the attribution stands for before the last reduction.
 _GROUP, _JOB, _ALL = "group", "job", "all"
 
+_JOB_KEY = ["job_prefix", "sid", "serial", "start_snap", "stop_snap"]
+
 
 def _job_runs(
     tables: Tables,
@@ -48,16 +50,20 @@ def job_group_summary(tables: Tables, *, as_of: datetime, retention: timedelta)
         )
     )
     tasks = tables["parallel_task"].select("job_prefix", "task_name", "sql_stmt")
-    return groups.join(tasks, "job_prefix", "left").orderBy(F.col("max_duration").desc_nulls_first())
+    return groups.join(tasks, "job_prefix", "left").orderBy(
+        F.col("max_duration").desc_nulls_first(), "job_prefix"
+    )
 
 
-def snap_at(points: DataFrame, snapshots: DataFrame, by: list[str]) -> DataFrame:
-    """The snapshot each distinct point in time ``at`` falls into, borders included.
+def add_snaps(
+    runs: DataFrame, snapshots: DataFrame, by: list[str], *, start: str, stop: str
+) -> DataFrame:
+    """Runs with ``start_snap`` and ``stop_snap``, the snapshots their two times fall into.
 
-    Each snapshot is listed under every hour it touches, so the lookup is an equi join on the hour
-    with the exact borders as a residual. A point on a border lies in two snapshots; the lower id
-    is taken. Instances that share an interval are folded first. Points outside every snapshot are
-    absent from the result.
+    ``runs`` has distinct rows. Each snapshot is listed under every hour it touches, so the lookup
+    is an equi join on the hour with the exact borders as a residual. A time on a border lies in two
+    snapshots; the lower id is taken. A time outside every snapshot has none. Instances that share
+    an interval are folded first.
     """
     hour = F.expr("interval 1 hour")
     first, last = (F.date_trunc("hour", f"{s}_interval_time") for s in ("begin", "end"))
@@ -66,24 +72,47 @@ def snap_at(points: DataFrame, snapshots: DataFrame, by: list[str]) -> DataFrame
         .agg(F.min("snap_id").alias("snap_id"))
         .withColumn("cell", F.explode(F.sequence(first, last, hour)))
     )
-    return (
-        points.withColumn("cell", F.date_trunc("hour", "at"))
-        .join(cells, [*by, "cell"])
-        .where(F.col("at").between(F.col("begin_interval_time"), F.col("end_interval_time")))
-        .groupBy(*by, "at")
-        .agg(F.min("snap_id").alias("snap_id"))
+    ends = F.array(
+        *[F.struct(F.lit(k).alias("end"), F.col(c).alias("at")) for k, c in enumerate((start, stop))]
+    )
+    points = runs.withColumn("point", F.explode(ends)).withColumn(
+        "cell", F.date_trunc("hour", "point.at")
+    )
+    p, c = points.alias("p"), broadcast_if_small(cells).alias("c")
+    same_cell = [F.col(f"p.{k}") == F.col(f"c.{k}") for k in [*by, "cell"]]
+    inside = F.col("p.point.at").between(
+        F.col("c.begin_interval_time"), F.col("c.end_interval_time")
+    )
+    found = p.join(c, [*same_cell, inside], "left").select(
+        *[F.col(f"p.{name}").alias(name) for name in runs.columns],
+        F.col("p.point.end").alias("end"),
+        F.col("c.snap_id").alias("snap_id"),
+    )
+    return found.groupBy(*runs.columns).agg(
+        F.min(F.when(F.col("end") == 0, F.col("snap_id"))).alias("start_snap"),
+        F.min(F.when(F.col("end") == 1, F.col("snap_id"))).alias("stop_snap"),
     )
 
 
-def _with_snaps(runs: DataFrame, snapshots: DataFrame, by: list[str]) -> DataFrame:
-    """Runs with the first and last snapshot they touch; NULL where there is none."""
-    runs = runs.withColumn("stop_at", F.col("req_start_date") + F.col("run_duration"))
-    points = runs.select(*by, F.explode(F.array("req_start_date", "stop_at")).alias("at")).distinct()
-    found = snap_at(points, snapshots, by)
-    for at, name in (("req_start_date", "start_snap"), ("stop_at", "stop_snap")):
-        side = found.select(*by, F.col("at").alias(at), F.col("snap_id").alias(name))
-        runs = runs.join(side, [*by, at], "left")
-    return runs
+def _jobs(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
+    """Runs alike in group, session and snapshots, folded into one row that counts them."""
+    distinct_runs = (
+        runs.withColumn("stop_at", F.col("req_start_date") + F.col("run_duration"))
+        .groupBy(*by, "job_prefix", "session_id", "req_start_date", "run_duration", "stop_at")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    part = F.split("session_id", ",")
+    return (
+        add_snaps(distinct_runs, tables["snapshot"], by, start="req_start_date", stop="stop_at")
+        .withColumn("sid", F.try_element_at(part, F.lit(1)).try_cast("bigint"))
+        .withColumn("serial", F.try_element_at(part, F.lit(2)).try_cast("bigint"))
+        .groupBy(*by, *_JOB_KEY)
+        .agg(
+            F.sum("n").alias("n"),
+            F.min("req_start_date").alias("min_start"),
+            F.max("run_duration").alias("max_duration"),
+        )
+    )
 
 
 def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
@@ -93,23 +122,13 @@ def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
     left-join meaning: a job without any sample counts once, under no statement.
 
     Jobs are listed under every snapshot they span, so samples meet them by equality on session
-    and snapshot. Runs alike in group, session and snapshots are folded into one weighted row first.
-    The samples are read once: the same pass also counts samples per job, which tells the jobs that
-    had none.
+    and snapshot. While these listings are proven few they are broadcast and the samples are
+    filtered in place; beyond that the samples are reduced per session, snapshot and execution
+    before they are shuffled. The samples are read once: the same pass also counts samples per job,
+    which tells the jobs that had none.
     """
-    job = [*by, "job_prefix", "sid", "serial", "start_snap", "stop_snap"]
-    part = F.split("session_id", ",")
-    jobs = (
-        _with_snaps(runs, tables["snapshot"], by)
-        .withColumn("sid", F.try_element_at(part, F.lit(1)).try_cast("bigint"))
-        .withColumn("serial", F.try_element_at(part, F.lit(2)).try_cast("bigint"))
-        .groupBy(*job)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("req_start_date").alias("min_start"),
-            F.max("run_duration").alias("max_duration"),
-        )
-    )
+    job = [*by, *_JOB_KEY]
+    jobs = settled(_jobs(tables, runs, by))
     session = [*by, "session_id", "session_serial", "snap_id"]
     spans = (
         jobs.where("start_snap <= stop_snap")
@@ -121,8 +140,19 @@ def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
         F.struct("sql_exec_id", whole_second(F.col("sql_exec_start"))),
     )
     samples = tables["ash"].select(
-        *session, "sql_id", run.alias("run"), "tm_delta_db_time", "tm_delta_cpu_time"
+        *session,
+        "sql_id",
+        run.alias("run"),
+        F.lit(1).cast("bigint").alias("sampled"),
+        F.col("tm_delta_db_time").alias("db"),
+        F.col("tm_delta_cpu_time").alias("cpu"),
     )
+    if is_small(spans):
+        spans = F.broadcast(spans)
+    else:
+        samples = samples.groupBy(*session, "sql_id", "run").agg(
+            *[F.sum(c).alias(c) for c in ("sampled", "db", "cpu")]
+        )
     n = F.col("n")
     hits = (
         samples.join(spans, session)
@@ -132,10 +162,10 @@ def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
             .when(F.grouping("job_prefix") == 0, _GROUP)
             .otherwise(_ALL)
             .alias("level"),
-            F.sum(n).alias("rowcount"),
+            F.sum(F.col("sampled") * n).alias("rowcount"),
             F.countDistinct("run").alias("unq_run"),
-            F.sum(F.col("tm_delta_db_time") * n).alias("db"),
-            F.sum(F.col("tm_delta_cpu_time") * n).alias("cpu"),
+            F.sum(F.col("db") * n).alias("db"),
+            F.sum(F.col("cpu") * n).alias("cpu"),
             *_bounds("start_snap", "stop_snap", "min_start", "max_duration"),
         )
     )
@@ -213,7 +243,7 @@ def job_sql_attribution(tables: Tables, *, job_like: str) -> DataFrame:
     by = shared(["dbid"], tables["job_run"], tables["ash"], tables["snapshot"])
     rows = _attribution(tables, _job_runs(tables, job_like=job_like), by)
     return rows.select("job_prefix", "sql_id", *_figures()).orderBy(
-        F.col("job_prefix").asc_nulls_last(), F.col("rowcount").desc_nulls_first()
+        F.col("job_prefix").asc_nulls_last(), F.col("rowcount").desc_nulls_first(), "sql_id"
     )
 
 
@@ -236,4 +266,4 @@ def job_sql_attribution_all(
         F.col("longest").alias("max_duration"),
         "sql_id",
         *_figures(),
-    ).orderBy(F.col("db_time").desc_nulls_first())
+    ).orderBy(F.col("db_time").desc_nulls_first(), "job_prefix", "sql_id")

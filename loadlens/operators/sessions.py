@@ -9,12 +9,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.functions import count_set_flags, half_up, range_text, text_cat, whole_second
-from loadlens.operators.common import Tables, in_window, only
-
-_EXECUTION = ["sql_id", "sql_plan_hash_value", "sql_exec_id", "sql_exec_start"]
+from loadlens.operators.common import (
+    Tables,
+    broadcast_if_small,
+    in_window,
+    is_small,
+    only,
+    snapshots_between,
+)
+from loadlens.sources.store import SNAP_KEYS, prune_days
+
+_EXECUTION = [
+    "sql_id",
+    "sql_plan_hash_value",
+    "sql_exec_id",
+    "sql_exec_start",
+    "session_id",
+    "session_serial",
+]
+_FLAGS = {
+    "parse": "in_parse",
+    "hard_parse": "in_hard_parse",
+    "sql": "in_sql_execution",
+    "plsql": "in_plsql_execution",
+    "java": "in_java_execution",
+    "cursor_close": "in_cursor_close",
+}
 _MIB = 1024 * 1024
 
 
+def _measure(samples: DataFrame, keys: list[str]) -> DataFrame:
+    return samples.groupBy(*keys).agg(
+        F.min("snap_id").alias("first_snap"),
+        F.max("snap_id").alias("last_snap"),
+        F.max("sample_time").alias("last_sample"),
+        F.sum("tm_delta_db_time").alias("db"),
+        F.sum("tm_delta_cpu_time").alias("cpu"),
+        F.sum("delta_read_io_bytes").alias("rd"),
+        F.sum("delta_write_io_bytes").alias("wr"),
+        F.count(F.lit(1)).alias("wait_count"),
+        *[count_set_flags(flag).alias(name) for name, flag in _FLAGS.items()],
+    )
+
+
+def _merge(measured: DataFrame, keys: list[str]) -> DataFrame:
+    sums = ["db", "cpu", "rd", "wr", "wait_count", *_FLAGS]
+    return measured.groupBy(*keys).agg(
+        F.min("first_snap").alias("first_snap"),
+        F.max("last_snap").alias("last_snap"),
+        F.max("last_sample").alias("last_sample"),
+        *[F.sum(name).alias(name) for name in sums],
+    )
+
+
 def sql_executions(
     tables: Tables,
     *,
@@ -22,47 +69,38 @@ def sql_executions(
     etime: datetime | None,
     sql_ids: Iterable[str] | None = None,
 ) -> DataFrame:
-    """One row per sampled execution and session: span, cost, IO and phase counts."""
-    samples = in_window(only(tables["ash"], "sql_id", sql_ids), tables["snapshot"], btime, etime)
-    session = ["session_id", "session_serial"]
-    return (
-        samples.groupBy(*_EXECUTION, *session)
-        .agg(
-            range_text(F.min("snap_id"), F.max("snap_id"), " - ").alias("snap_range"),
-            whole_second(F.max("sample_time")).alias("sql_exec_stop"),
-            F.sum("tm_delta_db_time").alias("db"),
-            F.sum("tm_delta_cpu_time").alias("cpu"),
-            F.sum("delta_read_io_bytes").alias("rd"),
-            F.sum("delta_write_io_bytes").alias("wr"),
-            F.count(F.lit(1)).alias("wait_count"),
-            count_set_flags("in_parse").alias("parse"),
-            count_set_flags("in_hard_parse").alias("hard_parse"),
-            count_set_flags("in_sql_execution").alias("sql"),
-            count_set_flags("in_plsql_execution").alias("plsql"),
-            count_set_flags("in_java_execution").alias("java"),
-            count_set_flags("in_cursor_close").alias("cursor_close"),
-        )
-        .select(
-            "sql_id",
-            F.col("sql_plan_hash_value").alias("plan_hash_value"),
-            "sql_exec_id",
-            text_cat(F.col("session_id"), ",", F.col("session_serial")).alias("sid_serial"),
-            "snap_range",
-            "sql_exec_start",
-            "sql_exec_stop",
-            half_up(F.col("db"), scale=1_000_000, digits=2).alias("db_time"),
-            half_up(F.col("cpu"), scale=1_000_000, digits=2).alias("cpu_time"),
-            half_up(F.col("rd"), scale=_MIB).alias("read"),
-            half_up(F.col("wr"), scale=_MIB).alias("write"),
-            "wait_count",
-            "parse",
-            "hard_parse",
-            "sql",
-            "plsql",
-            "java",
-            "cursor_close",
-        )
-        .orderBy(F.col("sql_exec_start").desc_nulls_last())
+    """One row per sampled execution and session: span, cost, IO and phase counts.
+
+    Raw samples are never shuffled: with few snapshots in the window they are reduced right after a
+    broadcast join, and with many they are reduced per snapshot before the join.
+    """
+    samples = only(prune_days(tables["ash"], btime, etime), "sql_id", sql_ids)
+    window = snapshots_between(tables["snapshot"], btime, etime)
+    if is_small(window):
+        measured = _measure(samples.join(F.broadcast(window), SNAP_KEYS), _EXECUTION)
+    else:
+        per_snapshot = _measure(samples, [*SNAP_KEYS, *_EXECUTION])
+        measured = _merge(per_snapshot.join(window, SNAP_KEYS), _EXECUTION)
+    return measured.select(
+        "sql_id",
+        F.col("sql_plan_hash_value").alias("plan_hash_value"),
+        "sql_exec_id",
+        text_cat(F.col("session_id"), ",", F.col("session_serial")).alias("sid_serial"),
+        range_text(F.col("first_snap"), F.col("last_snap"), " - ").alias("snap_range"),
+        "sql_exec_start",
+        whole_second(F.col("last_sample")).alias("sql_exec_stop"),
+        half_up(F.col("db"), scale=1_000_000, digits=2).alias("db_time"),
+        half_up(F.col("cpu"), scale=1_000_000, digits=2).alias("cpu_time"),
+        half_up(F.col("rd"), scale=_MIB).alias("read"),
+        half_up(F.col("wr"), scale=_MIB).alias("write"),
+        "wait_count",
+        *_FLAGS,
+    ).orderBy(
+        F.col("sql_exec_start").desc_nulls_last(),
+        "sql_id",
+        "plan_hash_value",
+        "sql_exec_id",
+        "sid_serial",
     )
 
 
@@ -78,22 +116,18 @@ def plan_stats_ash(
     Samples are summed per snapshot and execution before they meet the statistics rows, so a
     statement that holds a large share of the samples is spread over its snapshots and executions.
     """
-    key = ["snap_id", "sql_id", "plan_hash_value", "instance_number", "dbid"]
-    stats = (
-        in_window(only(tables["sqlstat"], "sql_id", sql_ids), tables["snapshot"], btime, etime)
-        .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    key = [*SNAP_KEYS, "sql_id", "plan_hash_value"]
+    stats = in_window(only(tables["sqlstat"], "sql_id", sql_ids), tables["snapshot"], btime, etime)
     samples = (
-        only(tables["ash"], "sql_id", sql_ids)
+        only(prune_days(tables["ash"], btime, etime), "sql_id", sql_ids)
         .withColumnRenamed("sql_plan_hash_value", "plan_hash_value")
         .groupBy(*key, "sql_exec_id", "sql_exec_start")
         .agg(F.sum("tm_delta_db_time").alias("db"))
     )
     per_execution = (
-        samples.join(stats, key)
+        samples.join(stats.select(*key), key)
         .groupBy("sql_id", "plan_hash_value", "sql_exec_id", "sql_exec_start")
-        .agg(F.sum(F.col("db") * F.col("n")).alias("db_time"))
+        .agg(F.sum("db").alias("db_time"))
     )
     db_time = F.col("db_time")
     # the spread of a single execution is 0
@@ -138,17 +172,21 @@ def monitor_executions(
             (F.col("last_refresh_time") - F.col("sql_exec_start")).alias("ela"),
         )
     )
-    if with_text:
-        # one text per statement and plan, so the join cannot multiply executions
-        texts = (
-            only(tables["sql_area"], "sql_id", sql_ids)
-            .groupBy("sql_id", F.col("plan_hash_value").alias("sql_plan_hash_value"))
-            .agg(F.min("sql_fulltext").alias("sqltext"))
+    if with_text:  # ``sql_area`` has one row per statement and plan
+        texts = only(tables["sql_area"], "sql_id", sql_ids).select(
+            "sql_id",
+            F.col("plan_hash_value").alias("sql_plan_hash_value"),
+            F.col("sql_fulltext").alias("sqltext"),
         )
         rows = rows.join(texts, ["sql_id", "sql_plan_hash_value"], "left").select(
             *rows.columns, "sqltext"
         )
-    return rows.orderBy(F.col("sql_id").asc_nulls_last(), F.col("sql_exec_start").desc_nulls_first())
+    return rows.orderBy(
+        F.col("sql_id").asc_nulls_last(),
+        F.col("sql_exec_start").desc_nulls_first(),
+        "sql_plan_hash_value",
+        "sql_exec_id",
+    )
 
 
 def monitor_rows(
@@ -176,18 +214,19 @@ def long_operations(tables: Tables, *, opname: str) -> DataFrame:
 def long_operations_running(tables: Tables, *, opname: str) -> DataFrame:
     """Unfinished long operations of sessions now working under a statement of ``opname``.
 
-    Both lookups are reduced to distinct keys before they are joined, so a statement or session
-    repeated many times reaches the join once.
+    Activity is reduced to distinct rows before it is joined, so a session or statement sampled many
+    times reaches the join once.
     """
     top = long_operations(tables, opname=opname).select("sql_id").distinct()
+    top = broadcast_if_small(top.withColumnRenamed("sql_id", "top_level_sql_id"))
     working = (
         tables["active_now"]
         .select("session_id", "session_serial", "sql_id", "top_level_sql_id")
         .distinct()
-        .join(top.withColumnRenamed("sql_id", "top_level_sql_id"), "top_level_sql_id", "left_semi")
+        .join(top, "top_level_sql_id", "left_semi")
         .select(F.col("session_id").alias("sid"), F.col("session_serial").alias("serial_no"), "sql_id")
-        .distinct()
     )
-    key = ["sid", "serial_no", "sql_id"]
     unfinished = tables["longop"].where("time_remaining > 0")
-    return unfinished.join(working, key, "left_semi").select(*unfinished.columns)
+    return unfinished.join(working, ["sid", "serial_no", "sql_id"], "left_semi").select(
+        *unfinished.columns
+    )

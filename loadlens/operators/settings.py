@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.functions import day_of, half_up, like, ts_lit
-from loadlens.operators.common import Tables, only
+from loadlens.operators.common import Tables, broadcast_if_small, only
 from loadlens.sources.store import SNAP_KEYS, prune_days
 
 
@@ -29,10 +29,10 @@ def parameter_values(
     return (
         params.join(own, "indx")
         .join(shared_value, "indx")
+        .orderBy(F.col("name").asc_nulls_last(), "indx")
         .select(
             F.col("name").alias("parameter"), "description", "session_value", "instance_value"
         )
-        .orderBy(F.col("parameter").asc_nulls_last())
     )
 
 
@@ -58,7 +58,9 @@ def daily_stat_sum(
         snaps = snaps.where(F.col("end_interval_time") < date_calc + F.expr("interval 1 day"))
     return (
         stats.where(F.lower("stat_name") == stat_name)
-        .join(snaps.select(*SNAP_KEYS, date_calc.alias("date_calc")), SNAP_KEYS)
+        .join(
+            broadcast_if_small(snaps.select(*SNAP_KEYS, date_calc.alias("date_calc"))), SNAP_KEYS
+        )
         .groupBy("date_calc", "stat_name")
         .agg(half_up(F.sum("value"), scale=scale).alias("value"))
     )

@@ -9,8 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadlens.functions import day_of, half_up, like, per_exec, whole_second
-from loadlens.operators.common import Tables, in_window, only
-from loadlens.sources.store import SNAP_KEYS, prune_days
+from loadlens.operators.common import (
+    Tables,
+    broadcast_if_small,
+    in_window,
+    only,
+    settled,
+    snapshots_between,
+)
+from loadlens.sources.store import SNAP_KEYS
 
 # Report column -> counter. Times are kept in microseconds, the rest are plain counts.
 TIMES = {
@@ -97,7 +104,7 @@ def sql_stats_daily(
         )
         .agg(*_totals())
         .select("sqlid", "phv", "tl", *_per_exec_columns(unit))
-        .orderBy(F.desc("tl"), _total_elapsed().desc_nulls_last())
+        .orderBy(F.desc("tl"), _total_elapsed().desc_nulls_last(), "sqlid", "phv")
     )
 
 
@@ -168,7 +175,7 @@ def multi_plan_queries(
         )
         .where(F.col("loaded_plans") > 1)
         .withColumn("percent", percent)
-        .orderBy(F.col("percent").desc_nulls_first())
+        .orderBy(F.col("percent").desc_nulls_first(), "sql_id")
     )
 
 
@@ -178,24 +185,24 @@ def queries_by_text(
     """Statements whose upper-cased text contains a pattern, with the cost of their latest day.
 
     Patterns are LIKE patterns (``_`` matches any character) unless ``literal``. Times are in
-    milliseconds. Statements without statistics stay in the result with empty figures. Only ids go
-    through the statistics; the text is joined to the reduced rows at the end.
+    milliseconds. Statements without statistics stay in the result with empty figures. The texts are
+    searched once; only ids go through the statistics, and the text meets the reduced rows last.
     """
     text = F.upper("sql_text")
     found = F.lit(False)
     for p in patterns:
         found = found | (text.contains(p) if literal else like(text, f"%{p}%"))
-    queries = (
+    queries = settled(
         tables["sqltext"]
         .where(found)
         .select(F.col("sql_id").alias("sqlid"), F.substring("sql_text", 1, 4000).alias("sql_text"))
     )
-    stats = tables["sqlstat"]
-    wanted = stats.join(queries.select(F.col("sqlid").alias("sql_id")), "sql_id", "left_semi")
-    begins = tables["snapshot"].select(*SNAP_KEYS, "begin_interval_time")
+    ids = broadcast_if_small(queries.select(F.col("sqlid").alias("sql_id")))
+    begins = snapshots_between(tables["snapshot"], None, None, "begin_interval_time")
     daily = (
-        prune_days(wanted, None, None)
-        .join(begins, SNAP_KEYS, "left")
+        tables["sqlstat"]
+        .join(ids, "sql_id", "left_semi")
+        .join(broadcast_if_small(begins), SNAP_KEYS, "left")
         .groupBy("sql_id", day_of(F.col("begin_interval_time")).alias("tl"), "module")
         .agg(*_totals())
     )
@@ -205,15 +212,6 @@ def queries_by_text(
     return (
         queries.join(last_day.withColumnRenamed("sql_id", "sqlid"), "sqlid", "left")
         .select("sqlid", "tl", *_per_exec_columns(1_000), "module", "sql_text")
-        .orderBy(_total_elapsed().desc_nulls_last())
+        .orderBy(_total_elapsed().desc_nulls_last(), "sqlid", "module")
     )
 
-
-__all__ = [
-    "multi_plan_queries",
-    "plan_stats",
-    "queries_by_text",
-    "sql_common_info",
-    "sql_stats_daily",
-    "sql_text",
-]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadlens.functions import half_up
-from loadlens.operators.common import Tables, only
+from loadlens.operators.common import Tables, broadcast_if_small, only
 
 MIB = 1024 * 1024
 
@@ -102,6 +102,6 @@ def buffer_summary(tables: Tables, *, object_names: Iterable[str] | None = None)
 
 def corrupt_extents(tables: Tables) -> DataFrame:
     """Extents that start at a block of the corruption list."""
-    damaged = tables["corruption"].select("file_id", "block_id").distinct()
+    damaged = broadcast_if_small(tables["corruption"].select("file_id", "block_id").distinct())
     extents = tables["extent"]
     return extents.join(damaged, ["file_id", "block_id"], "left_semi").select(*extents.columns)

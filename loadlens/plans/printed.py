@@ -201,7 +201,11 @@ def plan_tree(
 def plan_tree_with_actuals(
     tables: Tables, *, sql_ids: Iterable[str] | None = None, exec_id: int | None = None
 ) -> DataFrame:
-    """Printed plans with what each step did in the given execution (in any, without one)."""
+    """Printed plans with what each step did in the given execution (in each, without one).
+
+    Steps never monitored are added as a separate branch rather than by an outer join: Spark can
+    split a hot step of an inner join on either side, but not the inner side of an outer join.
+    """
     monitor = only(tables["plan_monitor"], "sql_id", sql_ids)
     if exec_id is not None:
         monitor = monitor.where(F.col("sql_exec_id") == exec_id)
@@ -217,13 +221,14 @@ def plan_tree_with_actuals(
         F.col("workarea_max_mem").alias("max_mem"),
         F.col("workarea_max_tempseg").alias("max_temp"),
     )
-    steps = (
-        _cursors(tables, sql_ids, child=False)
-        .join(only(tables["plan_line"], "sql_id", sql_ids), _PLAN_KEY)
-        .join(actuals, [*_PLAN_KEY, "id"], "left")
+    step = [*_PLAN_KEY, "id"]
+    steps = _cursors(tables, sql_ids, child=False).join(
+        only(tables["plan_line"], "sql_id", sql_ids), _PLAN_KEY
     )
+    idle = steps.join(actuals.select(*step).distinct(), step, "left_anti")
+    rows = steps.join(actuals, step).unionByName(idle, allowMissingColumns=True)
     return (
-        _explode_lines(steps, [0, 1], "id")
+        _explode_lines(rows, [0, 1], "id")
         .orderBy(*_PLAN_KEY, "sql_exec_id", F.col("id"), "line_pos")
         .select(
             *_PLAN_KEY,
@@ -267,5 +272,5 @@ def plan_lines(
             "access_predicates",
             "filter_predicates",
         )
-        .orderBy("plan_hash_value", "id")
+        .orderBy("plan_hash_value", "id", "sql_id")
     )
