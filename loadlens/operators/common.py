@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.functions import ts_lit
@@ -20,14 +21,17 @@ SMALL_ROWS = "spark.loadlens.smallRows"
 SMALL_ROWS_DEFAULT = 1_000_000
 
 
+def _few(spark: SparkSession, rows: int) -> bool:
+    return rows <= int(spark.conf.get(SMALL_ROWS, str(SMALL_ROWS_DEFAULT)))
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether a join side is proven small enough to broadcast, by counting its rows.
 
     Spark's own estimate of a filtered or aggregated side can be far too high, and by the time its
     true size is known at run time the large side has already been shuffled.
     """
-    limit = int(df.sparkSession.conf.get(SMALL_ROWS, str(SMALL_ROWS_DEFAULT)))
-    return limit > 0 and df.count() <= limit
+    return _few(df.sparkSession, df.count())
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -43,7 +47,7 @@ def settled(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None and context.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="loadlens-")
         if folder is None:
@@ -57,31 +61,56 @@ def only(df: DataFrame, column: str, values: Iterable | None) -> DataFrame:
     return df if values is None else df.where(F.col(column).isin(list(values)))
 
 
-def snapshots_between(
+@dataclass(frozen=True)
+class SnapWindow:
+    """The snapshots a report covers, measured once on the driver.
+
+    ``rows`` holds their keys and the wanted columns, with a broadcast hint if ``few``. ``keep``
+    narrows a fact to the range of their ids, and to their days where it is stored by day; both are
+    filters the scan can use to skip data, implied by the join that follows.
+    """
+
+    rows: DataFrame
+    few: bool
+    low: int | None
+    high: int | None
+    btime: datetime | None = None
+    etime: datetime | None = None
+
+    def keep(self, fact: DataFrame) -> DataFrame:
+        ids = F.col("snap_id").between(F.lit(self.low), F.lit(self.high))
+        return prune_days(fact, self.btime, self.etime).where(ids)
+
+    def join(self, fact: DataFrame) -> DataFrame:
+        """The covered fact rows with the wanted snapshot columns.
+
+        The join is on the full snapshot key: a broadcast join where the snapshots are proven few,
+        and a sort-merge join, whose hot snapshots Spark splits at run time, beyond that.
+        """
+        return self.keep(fact).join(self.rows, SNAP_KEYS)
+
+
+def measured(
+    snapshots: DataFrame, btime: datetime | None = None, etime: datetime | None = None
+) -> SnapWindow:
+    """The snapshots with their number and range of ids, found by one aggregation of them."""
+    size = snapshots.agg(
+        F.count(F.lit(1)).alias("n"), F.min("snap_id").alias("low"), F.max("snap_id").alias("high")
+    ).first()
+    few = _few(snapshots.sparkSession, size["n"])
+    rows = F.broadcast(snapshots) if few else snapshots
+    return SnapWindow(rows, few, size["low"], size["high"], btime, etime)
+
+
+def window_of(
     snapshot: DataFrame, btime: datetime | None, etime: datetime | None, *columns: str
-) -> DataFrame:
-    """Key and named columns of the snapshots that begin in the window; None leaves a side open."""
+) -> SnapWindow:
+    """The snapshots that begin in the window; a side given as None is open."""
     if btime is not None:
         snapshot = snapshot.where(F.col("begin_interval_time") >= ts_lit(btime))
     if etime is not None:
         snapshot = snapshot.where(F.col("begin_interval_time") <= ts_lit(etime))
-    return snapshot.select(*SNAP_KEYS, *columns)
-
-
-def in_window(
-    fact: DataFrame,
-    snapshot: DataFrame,
-    btime: datetime | None,
-    etime: datetime | None,
-    *columns: str,
-) -> DataFrame:
-    """Fact rows of the snapshots in the window, with the named snapshot columns added.
-
-    The join is on the full snapshot key: a broadcast join where the snapshots of the window are
-    proven few, and a sort-merge join, whose hot snapshots Spark splits at run time, beyond that.
-    """
-    picked = snapshots_between(snapshot, btime, etime, *columns)
-    return prune_days(fact, btime, etime).join(broadcast_if_small(picked), SNAP_KEYS)
+    return measured(snapshot.select(*SNAP_KEYS, *columns), btime, etime)
 
 
 def shared(names: Iterable[str], *frames: DataFrame) -> list[str]:

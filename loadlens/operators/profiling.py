@@ -44,41 +44,69 @@ def _comparable(field: T.StructField) -> Column:
     return F.to_json(F.col(field.name)) if nested else F.col(field.name)
 
 
+def _exact_distinct(df: DataFrame) -> DataFrame:
+    """Distinct values per column position: one exchange of the distinct (position, value) pairs."""
+    values = []
+    for i, field in enumerate(df.schema.fields):
+        value = _comparable(field)
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            value = value + F.lit(0.0).cast(field.dataType)  # one zero, not two
+        text = F.base64(value) if isinstance(field.dataType, T.BinaryType) else value.cast("string")
+        digest = F.when(F.length(text) > _LONG_TEXT, F.sha2(text, 256)).otherwise(text)
+        values.append(F.struct(F.lit(i).alias("position"), digest.alias("value")))
+    return (
+        df.select(F.inline(F.array(*values)))
+        .where("value is not null")
+        .distinct()
+        .groupBy("position")
+        .agg(F.count(F.lit(1)).alias("num_distinct"))
+    )
+
+
 def _profile_one(name: str, df: DataFrame, exact_distinct: bool, rsd: float) -> DataFrame:
     aggregates, lines = [F.count(F.lit(1)).alias("num_rows")], []
     for i, field in enumerate(df.schema.fields):
         value = _comparable(field)
         width = WIDTHS.get(type(field.dataType))
-        is_text = width is None and not isinstance(field.dataType, (T.DecimalType, T.BinaryType))
-        if not exact_distinct:
-            distinct = F.approx_count_distinct(value, rsd)
-        elif is_text:
-            digest = F.when(F.length(value) > _LONG_TEXT, F.sha2(value, 256)).otherwise(value)
-            distinct = F.countDistinct(digest)
-        else:
-            distinct = F.countDistinct(value)
         size = F.octet_length(value) if width is None else F.lit(width)
         aggregates += [
             F.count_if(F.col(field.name).isNull()).alias(f"nulls_{i}"),
-            distinct.alias(f"distinct_{i}"),
             F.sum(F.when(F.col(field.name).isNotNull(), size).otherwise(0))
             .cast("bigint")
             .alias(f"bytes_{i}"),
             F.min(value).cast("string").alias(f"min_{i}"),
             F.max(value).cast("string").alias(f"max_{i}"),
         ]
+        if not exact_distinct:
+            aggregates.append(F.approx_count_distinct(value, rsd).alias(f"distinct_{i}"))
         lines.append(
             F.struct(
+                F.lit(i).alias("position"),
                 F.lit(field.name).alias("column_name"),
                 F.col(f"nulls_{i}").alias("num_nulls"),
-                F.col(f"distinct_{i}").alias("num_distinct"),
+                (F.lit(None).cast("bigint") if exact_distinct else F.col(f"distinct_{i}")).alias(
+                    "num_distinct"
+                ),
                 half_up(F.col(f"bytes_{i}"), F.col("num_rows")).alias("avg_col_len"),
                 F.col(f"min_{i}").alias("min_value"),
                 F.col(f"max_{i}").alias("max_value"),
             )
         )
-    return df.agg(*aggregates).select(
-        F.lit(name).alias("table_name"), "num_rows", F.inline(F.array(*lines))
+    profile = df.agg(*aggregates).select("num_rows", F.inline(F.array(*lines)))
+    if exact_distinct:
+        counted = profile.drop("num_distinct").join(_exact_distinct(df), "position", "left")
+        profile = counted.withColumn(
+            "num_distinct", F.coalesce("num_distinct", F.lit(0).cast("bigint"))
+        )
+    return profile.select(
+        F.lit(name).alias("table_name"),
+        "column_name",
+        "num_rows",
+        "num_nulls",
+        "num_distinct",
+        "avg_col_len",
+        "min_value",
+        "max_value",
     )
 
 
@@ -92,9 +120,10 @@ def table_profile(
 ) -> DataFrame:
     """Per table and column: rows, NULLs, distinct values, average bytes, lowest and highest value.
 
-    Each table is read once, in one aggregation. Distinct values are estimated within ``rsd``
-    unless ``exact_distinct`` asks for a full count, which shuffles every distinct value. ``exclude``
-    names tables to leave out, as names or as a DataFrame with ``table_name``.
+    Each table is read once, in one aggregation without a shuffle of its rows. Distinct values are
+    estimated within ``rsd``; ``exact_distinct`` counts them instead, with a second read that
+    shuffles every distinct value. ``exclude`` names tables to leave out, as names or as a DataFrame
+    with ``table_name``.
     """
     left_out = _excluded(tables, exclude)
     profiles = [

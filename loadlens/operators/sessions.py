@@ -9,15 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.functions import count_set_flags, half_up, range_text, text_cat, whole_second
-from loadlens.operators.common import (
-    Tables,
-    broadcast_if_small,
-    in_window,
-    is_small,
-    only,
-    snapshots_between,
-)
-from loadlens.sources.store import SNAP_KEYS, prune_days
+from loadlens.operators.common import Tables, broadcast_if_small, only, window_of
+from loadlens.sources.store import SNAP_KEYS
 
 _EXECUTION = [
     "sql_id",
@@ -74,14 +67,14 @@ def sql_executions(
     Raw samples are never shuffled: with few snapshots in the window they are reduced right after a
     broadcast join, and with many they are reduced per snapshot before the join.
     """
-    samples = only(prune_days(tables["ash"], btime, etime), "sql_id", sql_ids)
-    window = snapshots_between(tables["snapshot"], btime, etime)
-    if is_small(window):
-        measured = _measure(samples.join(F.broadcast(window), SNAP_KEYS), _EXECUTION)
+    window = window_of(tables["snapshot"], btime, etime)
+    samples = only(tables["ash"], "sql_id", sql_ids)
+    if window.few:
+        executions = _measure(window.join(samples), _EXECUTION)
     else:
-        per_snapshot = _measure(samples, [*SNAP_KEYS, *_EXECUTION])
-        measured = _merge(per_snapshot.join(window, SNAP_KEYS), _EXECUTION)
-    return measured.select(
+        per_snapshot = _measure(window.keep(samples), [*SNAP_KEYS, *_EXECUTION])
+        executions = _merge(window.join(per_snapshot), _EXECUTION)
+    return executions.select(
         "sql_id",
         F.col("sql_plan_hash_value").alias("plan_hash_value"),
         "sql_exec_id",
@@ -117,9 +110,10 @@ def plan_stats_ash(
     statement that holds a large share of the samples is spread over its snapshots and executions.
     """
     key = [*SNAP_KEYS, "sql_id", "plan_hash_value"]
-    stats = in_window(only(tables["sqlstat"], "sql_id", sql_ids), tables["snapshot"], btime, etime)
+    window = window_of(tables["snapshot"], btime, etime)
+    stats = window.join(only(tables["sqlstat"], "sql_id", sql_ids))
     samples = (
-        only(prune_days(tables["ash"], btime, etime), "sql_id", sql_ids)
+        window.keep(only(tables["ash"], "sql_id", sql_ids))
         .withColumnRenamed("sql_plan_hash_value", "plan_hash_value")
         .groupBy(*key, "sql_exec_id", "sql_exec_start")
         .agg(F.sum("tm_delta_db_time").alias("db"))

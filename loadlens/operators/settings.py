@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.functions import day_of, half_up, like, ts_lit
-from loadlens.operators.common import Tables, broadcast_if_small, only
-from loadlens.sources.store import SNAP_KEYS, prune_days
+from loadlens.operators.common import Tables, measured, only
+from loadlens.sources.store import SNAP_KEYS
 
 
 def parameter_values(
@@ -45,22 +45,19 @@ def daily_stat_sum(
     midnight on and ended before the next midnight. Without ``day`` every day is reported.
     """
     date_calc = day_of(F.col("begin_interval_time"))
+    midnight = next_day = None
     snaps = tables["snapshot"].where(F.col("begin_interval_time") > F.col("startup_time"))
-    stats = tables["sysstat"]
-    if day is not None:
+    if day is None:
+        snaps = snaps.where(F.col("end_interval_time") < date_calc + F.expr("interval 1 day"))
+    else:
         midnight = day.replace(hour=0, minute=0, second=0, microsecond=0)
         next_day = midnight + timedelta(days=1)
         snaps = snaps.where(F.col("begin_interval_time") >= ts_lit(midnight)).where(
             F.col("end_interval_time") < ts_lit(next_day)
         )
-        stats = prune_days(stats, midnight, next_day)
-    else:
-        snaps = snaps.where(F.col("end_interval_time") < date_calc + F.expr("interval 1 day"))
+    window = measured(snaps.select(*SNAP_KEYS, date_calc.alias("date_calc")), midnight, next_day)
     return (
-        stats.where(F.lower("stat_name") == stat_name)
-        .join(
-            broadcast_if_small(snaps.select(*SNAP_KEYS, date_calc.alias("date_calc"))), SNAP_KEYS
-        )
+        window.join(tables["sysstat"].where(F.lower("stat_name") == stat_name))
         .groupBy("date_calc", "stat_name")
         .agg(half_up(F.sum("value"), scale=scale).alias("value"))
     )

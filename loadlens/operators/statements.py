@@ -12,10 +12,9 @@ from loadlens.functions import day_of, half_up, like, per_exec, whole_second
 from loadlens.operators.common import (
     Tables,
     broadcast_if_small,
-    in_window,
     only,
     settled,
-    snapshots_between,
+    window_of,
 )
 from loadlens.sources.store import SNAP_KEYS
 
@@ -89,15 +88,10 @@ def sql_stats_daily(
     unit: int = 1_000_000,
 ) -> DataFrame:
     """Per day, statement and plan: executions and cost per execution (times in ``unit`` us)."""
-    stats = in_window(
-        only(tables["sqlstat"], "sql_id", sql_ids),
-        tables["snapshot"],
-        btime,
-        etime,
-        "begin_interval_time",
-    )
+    window = window_of(tables["snapshot"], btime, etime, "begin_interval_time")
     return (
-        stats.groupBy(
+        window.join(only(tables["sqlstat"], "sql_id", sql_ids))
+        .groupBy(
             F.col("sql_id").alias("sqlid"),
             F.col("plan_hash_value").alias("phv"),
             day_of(F.col("begin_interval_time")).alias("tl"),
@@ -120,8 +114,9 @@ def _plan_cost(
     stats = only(tables["sqlstat"], "sql_id", sql_ids)
     if planned_only:
         stats = stats.where(F.col("plan_hash_value") != 0)
+    window = window_of(tables["snapshot"], btime, etime, "begin_interval_time")
     return (
-        in_window(stats, tables["snapshot"], btime, etime, "begin_interval_time")
+        window.join(stats)
         .groupBy("sql_id", "plan_hash_value")
         .agg(
             F.sum("executions_delta").alias("e"),
@@ -198,7 +193,7 @@ def queries_by_text(
         .select(F.col("sql_id").alias("sqlid"), F.substring("sql_text", 1, 4000).alias("sql_text"))
     )
     ids = broadcast_if_small(queries.select(F.col("sqlid").alias("sql_id")))
-    begins = snapshots_between(tables["snapshot"], None, None, "begin_interval_time")
+    begins = tables["snapshot"].select(*SNAP_KEYS, "begin_interval_time")
     daily = (
         tables["sqlstat"]
         .join(ids, "sql_id", "left_semi")
