@@ -1,7 +1,8 @@
 """Execution plans printed as indented text, one row per line.
 
 The header lines of a plan hang on its first step (id 0). They are made by exploding a literal list
-of line kinds in place, so no join or second read of the plan rows is needed.
+of line kinds in place, so no join or second read of the plan rows is needed. Lines are printed
+before they are sorted, so the sort moves finished text only.
 """
 
 from __future__ import annotations
@@ -119,12 +120,13 @@ def plan_monitor_report(
         F.col("sql_exec_id"),
     )
     key = ["sql_id", "sql_plan_hash_value"]
+    lines = _explode_lines(steps.join(stats, key, "left"), [0, 0, 1], "plan_line_id")
     return (
-        _explode_lines(steps.join(stats, key, "left"), [0, 0, 1], "plan_line_id")
-        .orderBy("sql_id", "sql_plan_hash_value", "sql_exec_id", "plan_line_id", "line_pos")
-        .select(
+        lines.select(
             *key,
             "sql_exec_id",
+            F.col("plan_line_id").alias("step"),
+            "line_pos",
             _step_id("plan_line_id"),
             F.when(_is_header() & (F.col("line_pos") == 0), title)
             .when(_is_header(), F.col("totals"))
@@ -138,6 +140,8 @@ def plan_monitor_report(
             F.col("workarea_max_mem").alias("max_mem"),
             F.col("workarea_max_tempseg").alias("max_temp"),
         )
+        .orderBy(*key, "sql_exec_id", "step", "line_pos")
+        .drop("step", "line_pos")
     )
 
 
@@ -191,10 +195,17 @@ def plan_tree(
     steps = cursors.join(only(tables["plan_line"], "sql_id", sql_ids), _PLAN_KEY)
     return (
         _explode_lines(steps, [0, 1], "id")
-        .orderBy(*_PLAN_KEY, "child_number", F.col("id"), "line_pos")
         .select(
-            *_PLAN_KEY, _step_id("id"), _printed_step(), "access_predicates", "filter_predicates"
+            *_PLAN_KEY,
+            F.col("id").alias("step"),
+            "line_pos",
+            _step_id("id"),
+            _printed_step(),
+            "access_predicates",
+            "filter_predicates",
         )
+        .orderBy(*_PLAN_KEY, "step", "line_pos")
+        .drop("step", "line_pos")
     )
 
 
@@ -229,10 +240,11 @@ def plan_tree_with_actuals(
     rows = steps.join(actuals, step).unionByName(idle, allowMissingColumns=True)
     return (
         _explode_lines(rows, [0, 1], "id")
-        .orderBy(*_PLAN_KEY, "sql_exec_id", F.col("id"), "line_pos")
         .select(
             *_PLAN_KEY,
             "sql_exec_id",
+            F.col("id").alias("step"),
+            "line_pos",
             _step_id("id"),
             _printed_step(),
             "starts",
@@ -245,6 +257,8 @@ def plan_tree_with_actuals(
             "filter_predicates",
             "projection",
         )
+        .orderBy(*_PLAN_KEY, "sql_exec_id", "step", "line_pos")
+        .drop("step", "line_pos")
     )
 
 
