@@ -257,7 +257,7 @@ def plan_tree_with_actuals(
             "filter_predicates",
             "projection",
         )
-        .orderBy(*_PLAN_KEY, "sql_exec_id", "step", "line_pos")
+        .orderBy(*_PLAN_KEY, "step", "line_pos", "sql_exec_id")
         .drop("step", "line_pos")
     )
 

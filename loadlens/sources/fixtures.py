@@ -18,7 +18,7 @@ _VIEWS: dict[str, Callable[["Telemetry"], DataFrame]] = {}
 
 
 def _view(build: Callable[["Telemetry"], DataFrame]) -> Callable[["Telemetry"], DataFrame]:
-    _VIEWS[build.__name__] = build
+    _VIEWS[build.__name__.rstrip("_")] = build
     return build
 
 
@@ -444,7 +444,7 @@ def buffer_header(t: Telemetry) -> DataFrame:
 
 
 @_view
-def object(t: Telemetry) -> DataFrame:
+def object_(t: Telemetry) -> DataFrame:
     return t.given("part").selectExpr("p_partkey as data_object_id", "p_type as object_name")
 
 

@@ -666,11 +666,11 @@ def test_printed_plan_tree(spark):
 def test_printed_plan_tree_keeps_steps_without_actuals(spark):
     t = plan_tables(spark)
     got = plans.plan_tree_with_actuals(t, exec_id=5)
-    assert row_set(got, "id", "sql_exec_id", "starts") == [
+    assert rows(got, "id", "sql_exec_id", "starts") == [
+        (None, 5, 1),
         (0, 5, 1),
         (1, 5, 6),
         (2, None, None),
-        (None, 5, 1),
     ]
     every = plans.plan_tree_with_actuals(t)
     assert row_set(every, "id", "starts") == [(0, 1), (1, 6), (1, 9), (2, None), (None, 1)]
