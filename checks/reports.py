@@ -202,6 +202,14 @@ def _column_profile(table: str, column: str, width: int | None) -> str:
         from {table}"""
 
 
+_EXCLUDED = f"""
+        select u.table_name from user_tbl u join tab_statistic s on s.table_name = u.table_name
+        where s.stattype_locked is null and (
+            s.last_analyzed >= {STATS_START} or u."temporary" = 'Y'
+            or u.table_name in (select log_table from mview_log)
+            or regexp_matches(upper(u.table_name), '^(TTX\\$|TDS\\$|TUP\\$|TEMP_|TMP_)')
+            or regexp_matches(upper(u.table_name), '_(TEST|TEMP|TMP|OLD)'))"""
+
 # Column widths in bytes; None is text, measured by its UTF-8 bytes.
 _PROFILED = {
     "customer": {
@@ -479,13 +487,11 @@ REPORTS: dict[str, str] = {
     "pending_stats": f"""
         select * from tab_statistic
         where stattype_locked is null and last_analyzed <= {STATS_START}""",
-    "stats_exclusions": f"""
-        select u.table_name from user_tbl u join tab_statistic s on s.table_name = u.table_name
-        where s.stattype_locked is null and (
-            s.last_analyzed >= {STATS_START} or u."temporary" = 'Y'
-            or u.table_name in (select log_table from mview_log)
-            or regexp_matches(upper(u.table_name), '^(TTX\\$|TDS\\$|TUP\\$|TEMP_|TMP_)')
-            or regexp_matches(upper(u.table_name), '_(TEST|TEMP|TMP|OLD)'))""",
+    "stats_exclusions": _EXCLUDED,
+    "gather_exclusions": f"""
+        select table_name from tab_statistic where stattype_locked is not null
+        union
+        {_EXCLUDED}""",
     "long_operations": "select * from longop where opname = 'click'",
     "long_operations_running": """
         select l.* from longop l

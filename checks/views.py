@@ -10,8 +10,8 @@ VIEWS: dict[str, str] = {
             cast(1 + event_id % 2 as integer) instance_number,
             date_diff('hour', timestamp '2023-12-31 00:00:00', ts) snap_id,
             's' || (user_id % 20) sql_id,
-            case event_type when 'error' then 0 when 'click' then 101 when 'view' then 202
-                when 'purchase' then 303 else 404 end plan_hash_value,
+            cast(case event_type when 'error' then 0 when 'click' then 101 when 'view' then 202
+                when 'purchase' then 303 else 404 end as bigint) plan_hash_value,
             cast(round(value * 100) as bigint) * 10000 us
         from events""",
     "snapshot": """

@@ -38,7 +38,12 @@ from loadlens.operators.storage import (
     tablespace_free,
     tablespace_usage,
 )
-from loadlens.operators.upkeep import locked_stats, pending_stats, stats_exclusions
+from loadlens.operators.upkeep import (
+    gather_exclusions,
+    locked_stats,
+    pending_stats,
+    stats_exclusions,
+)
 from loadlens.operators.validation import Dataset, validate_tables
 
 __all__ = [
@@ -49,6 +54,7 @@ __all__ = [
     "daily_connect_time",
     "daily_logons",
     "daily_stat_sum",
+    "gather_exclusions",
     "index_size_estimate",
     "index_usage",
     "job_group_summary",

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
-from datetime import datetime
+from dataclasses import dataclass, replace
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,23 +63,23 @@ def only(df: DataFrame, column: str, values: Iterable | None) -> DataFrame:
 
 @dataclass(frozen=True)
 class SnapWindow:
-    """The snapshots a report covers, measured once on the driver.
+    """Rows by snapshot that a fact is joined to, measured before the join is planned.
 
-    ``rows`` holds their keys and the wanted columns, with a broadcast hint if ``few``. ``keep``
-    narrows a fact to the range of their ids, and to their days where it is stored by day; both are
-    filters the scan can use to skip data, implied by the join that follows.
+    ``rows`` has a broadcast hint if they are ``few``. ``keep`` narrows a fact to the range of their
+    snapshot ids, and to their days where it is stored by day; both are filters the scan can use to
+    skip data, implied by the join that follows.
     """
 
     rows: DataFrame
     few: bool
     low: int | None
     high: int | None
-    btime: datetime | None = None
-    etime: datetime | None = None
+    first: date | None = None
+    last: date | None = None
 
-    def keep(self, fact: DataFrame) -> DataFrame:
+    def keep(self, fact: DataFrame, *, keep_unknown: bool = False) -> DataFrame:
         ids = F.col("snap_id").between(F.lit(self.low), F.lit(self.high))
-        return prune_days(fact, self.btime, self.etime).where(ids)
+        return prune_days(fact, self.first, self.last, keep_unknown=keep_unknown).where(ids)
 
     def join(self, fact: DataFrame) -> DataFrame:
         """The covered fact rows with the wanted snapshot columns.
@@ -90,16 +90,24 @@ class SnapWindow:
         return self.keep(fact).join(self.rows, SNAP_KEYS)
 
 
-def measured(
-    snapshots: DataFrame, btime: datetime | None = None, etime: datetime | None = None
-) -> SnapWindow:
-    """The snapshots with their number and range of ids, found by one aggregation of them."""
-    size = snapshots.agg(
+def measured(rows: DataFrame, first: date | None = None, last: date | None = None) -> SnapWindow:
+    """The rows with their number and range of snapshot ids, found by one aggregation of them."""
+    size = rows.agg(
         F.count(F.lit(1)).alias("n"), F.min("snap_id").alias("low"), F.max("snap_id").alias("high")
     ).first()
-    few = _few(snapshots.sparkSession, size["n"])
-    rows = F.broadcast(snapshots) if few else snapshots
-    return SnapWindow(rows, few, size["low"], size["high"], btime, etime)
+    few = _few(rows.sparkSession, size["n"])
+    hinted = F.broadcast(rows) if few else rows
+    return SnapWindow(hinted, few, size["low"], size["high"], first, last)
+
+
+def with_days(window: SnapWindow, snapshot: DataFrame) -> SnapWindow:
+    """The window with the first and last day on which its snapshots began."""
+    days = snapshot.where(F.col("snap_id").between(F.lit(window.low), F.lit(window.high))).agg(
+        F.min(F.to_date("begin_interval_time")).alias("first"),
+        F.max(F.to_date("begin_interval_time")).alias("last"),
+    )
+    found = days.first()
+    return replace(window, first=found["first"], last=found["last"])
 
 
 def window_of(

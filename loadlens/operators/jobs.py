@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.functions import half_up, like, range_text, ts_lit, whole_second
-from loadlens.operators.common import Tables, broadcast_if_small, is_small, settled, shared
+from loadlens.operators.common import (
+    Tables,
+    broadcast_if_small,
+    measured,
+    settled,
+    shared,
+    with_days,
+)
 
 # The shape of a job name of a parallel task, and the group part of it.
 JOB_NAME = r"^TASK\$_\d+_\d+$"
@@ -122,10 +129,10 @@ def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
     left-join meaning: a job without any sample counts once, under no statement.
 
     Jobs are listed under every snapshot they span, so samples meet them by equality on session
-    and snapshot. While these listings are proven few they are broadcast and the samples are
-    filtered in place; beyond that the samples are reduced per session, snapshot and execution
-    before they are shuffled. The samples are read once: the same pass also counts samples per job,
-    which tells the jobs that had none.
+    and snapshot, and only the days and snapshots listed are read. While the listings are proven few
+    they are broadcast and the samples are filtered in place; beyond that the samples are reduced
+    per session, snapshot and execution before they are shuffled. The samples are read once: the
+    same pass also counts samples per job, which tells the jobs that had none.
     """
     job = [*by, *_JOB_KEY]
     jobs = settled(_jobs(tables, runs, by))
@@ -139,7 +146,11 @@ def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
         F.col("sql_exec_id").isNotNull() | F.col("sql_exec_start").isNotNull(),
         F.struct("sql_exec_id", whole_second(F.col("sql_exec_start"))),
     )
-    samples = tables["ash"].select(
+    window = measured(spans)
+    ash = tables["ash"]
+    if "snap_day" in ash.columns:
+        window = with_days(window, tables["snapshot"])
+    samples = window.keep(ash, keep_unknown=True).select(
         *session,
         "sql_id",
         run.alias("run"),
@@ -147,15 +158,13 @@ def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
         F.col("tm_delta_db_time").alias("db"),
         F.col("tm_delta_cpu_time").alias("cpu"),
     )
-    if is_small(spans):
-        spans = F.broadcast(spans)
-    else:
+    if not window.few:
         samples = samples.groupBy(*session, "sql_id", "run").agg(
             *[F.sum(c).alias(c) for c in ("sampled", "db", "cpu")]
         )
     n = F.col("n")
     hits = (
-        samples.join(spans, session)
+        samples.join(window.rows, session)
         .groupingSets([["job_prefix", "sql_id"], job, []], *job, "sql_id")
         .agg(
             F.when(F.grouping("sid") == 0, _JOB)

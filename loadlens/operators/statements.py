@@ -64,7 +64,7 @@ def sql_common_info(tables: Tables, *, sql_ids: Iterable[str] | None = None) ->
     )
     return (
         only(tables["sqltext"], "sql_id", sql_ids)
-        .join(tables["command_name"], "command_type")
+        .join(broadcast_if_small(tables["command_name"]), "command_type")
         .join(plans, "sql_id", "left")
         .select(
             "command_name",

@@ -102,6 +102,6 @@ def buffer_summary(tables: Tables, *, object_names: Iterable[str] | None = None)
 
 def corrupt_extents(tables: Tables) -> DataFrame:
     """Extents that start at a block of the corruption list."""
-    damaged = broadcast_if_small(tables["corruption"].select("file_id", "block_id").distinct())
+    damaged = broadcast_if_small(tables["corruption"].select("file_id", "block_id"))
     extents = tables["extent"]
     return extents.join(damaged, ["file_id", "block_id"], "left_semi").select(*extents.columns)

@@ -58,3 +58,12 @@ def stats_exclusions(tables: Tables, *, since: datetime) -> DataFrame:
         )
         .select("table_name")
     )
+
+
+def gather_exclusions(tables: Tables, *, since: datetime) -> DataFrame:
+    """Names a gathering run leaves out: locked tables and ``stats_exclusions``, each once.
+
+    This is what ``table_profile`` takes as ``exclude``.
+    """
+    locked = locked_stats(tables).select("table_name")
+    return locked.unionByName(stats_exclusions(tables, since=since)).distinct()

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from datetime import datetime
+from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.functions import day_of, ts_lit
 from loadlens.sources.schemas import FACTS, SCHEMAS
 
 SNAP_KEYS = ["dbid", "instance_number", "snap_id"]
@@ -47,16 +46,26 @@ def write_telemetry(tables: Mapping[str, DataFrame], root: str, mode: str = "err
             df.write.mode(mode).parquet(f"{root}/{name}")
 
 
-def prune_days(fact: DataFrame, btime: datetime | None, etime: datetime | None) -> DataFrame:
-    """Skip whole stored days outside a window over snapshot begin times.
+def prune_days(
+    fact: DataFrame, first: date | None, last: date | None, *, keep_unknown: bool = False
+) -> DataFrame:
+    """Skip the stored days outside ``first`` to ``last`` (dates or times; None leaves a side open).
 
-    This only adds what the window over ``begin_interval_time`` already implies, as a filter on the
-    partition column. Tables stored without ``snap_day`` are returned as they are.
+    This is a filter on the partition column, for callers whose later join implies it. Rows whose
+    snapshot was unknown when they were stored stay only with ``keep_unknown``. Tables stored
+    without ``snap_day`` are returned as they are.
     """
     if "snap_day" not in fact.columns:
         return fact
-    if btime is not None:
-        fact = fact.where(F.col("snap_day") >= day_of(ts_lit(btime)).cast("date"))
-    if etime is not None:
-        fact = fact.where(F.col("snap_day") <= day_of(ts_lit(etime)).cast("date"))
-    return fact.drop("snap_day")
+    day, inside = F.col("snap_day"), F.lit(True)
+    if first is not None:
+        inside = inside & (day >= _day_lit(first))
+    if last is not None:
+        inside = inside & (day <= _day_lit(last))
+    if keep_unknown:
+        inside = inside | day.isNull()
+    return fact.where(inside).drop("snap_day")
+
+
+def _day_lit(at: date) -> Column:
+    return F.lit(at.date() if isinstance(at, datetime) else at)

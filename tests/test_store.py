@@ -8,7 +8,13 @@ import pytest
 
 from compare import spark_rows
 from loadlens.functions import look_back
-from loadlens.operators import daily_logons, plan_stats, queries_by_text, sql_executions
+from loadlens.operators import (
+    daily_logons,
+    job_sql_attribution,
+    plan_stats,
+    queries_by_text,
+    sql_executions,
+)
 from loadlens.sources import FACTS, SCHEMAS, Telemetry, read_telemetry, write_telemetry
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -48,18 +54,62 @@ def test_reports_on_stored_tables_equal_reports_on_views(spark, stored):
         lambda t: sql_executions(t, **window),
         lambda t: daily_logons(t, day=datetime(2024, 1, 6)),
         lambda t: queries_by_text(t, patterns=["RED_WIDGET"]),
+        lambda t: job_sql_attribution(t, job_like="TASK$_1%"),
     ):
         assert spark_rows(report(stored)) == spark_rows(report(views))
 
 
 def test_window_skips_stored_days_and_snapshot_ranges(spark, stored):
     btime, etime = look_back(datetime(2024, 1, 9), days=2)
-    plan = sql_executions(stored, btime=btime, etime=etime)._jdf.queryExecution().executedPlan()
-    scan = next(line for line in plan.toString().splitlines() if "tm_delta_db_time" in line and "FileScan" in line)
+    scan = fact_scan(sql_executions(stored, btime=btime, etime=etime), "tm_delta_db_time")
     assert "PartitionFilters: [isnotnull(snap_day" in scan
     assert "GreaterThanOrEqual(snap_id" in scan and "LessThanOrEqual(snap_id" in scan
 
 
+def fact_scan(df, column):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return next(line for line in plan.splitlines() if column in line and "FileScan" in line)
+
+
+def test_job_attribution_reads_the_days_of_its_jobs(spark, stored):
+    early = {**stored, "job_run": stored["job_run"].where("req_start_date < '2024-01-03'")}
+    scan = fact_scan(job_sql_attribution(early, job_like="TASK$_%"), "tm_delta_db_time")
+    assert "snap_day#" in scan and "<= 2024-01-02" in scan
+    assert "LessThanOrEqual(snap_id" in scan
+
+
+def test_samples_of_unknown_snapshots_are_still_attributed(spark, tmp_path):
+    from datetime import timedelta
+
+    from frames import DAY, at, frame, rows, snap
+
+    hour = timedelta(hours=1)
+    tables = {
+        "snapshot": frame(spark, "snapshot", [snap(1, DAY), snap(3, DAY + 2 * hour)]),
+        "ash": frame(
+            spark,
+            "ash",
+            [{**at(i), "session_id": 1, "session_serial": 2, "sql_id": "a"} for i in (1, 2, 3, 4)],
+        ),
+        "job_run": frame(
+            spark,
+            "job_run",
+            [
+                {
+                    "job_name": "TASK$_1_1",
+                    "session_id": "1,2",
+                    "req_start_date": DAY + hour / 2,
+                    "run_duration": 2 * hour,
+                }
+            ],
+        ),
+    }
+    write_telemetry(tables, str(tmp_path))
+    stored = read_telemetry(spark, str(tmp_path), tables)
+    got = job_sql_attribution(stored, job_like="TASK$_%")
+    assert rows(got, "job_prefix", "rowcount") == [("TASK$_1", 3), (None, 3)]
+
+
 def test_existing_tables_are_not_overwritten(spark, tmp_path):
     from pyspark.errors import AnalysisException
 

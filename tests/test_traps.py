@@ -805,6 +805,8 @@ def test_statistics_upkeep(spark):
         ("temp_1",),
         ("x_test",),
     ]
+    left_out = row_set(op.gather_exclusions(t, since=start))
+    assert left_out == sorted([*row_set(op.stats_exclusions(t, since=start)), ("x_old_locked",)])
 
 
 def test_semi_joins_do_not_multiply(spark):
