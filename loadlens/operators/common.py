@@ -6,32 +6,42 @@ import tempfile
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 from datetime import date, datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loadlens.functions import ts_lit
 from loadlens.sources.store import SNAP_KEYS, prune_days
 
 Tables = Mapping[str, DataFrame]
 
-# Session setting: the most rows a side may have to be broadcast, and its default. The sides checked
-# against it have a few short columns, so a million rows stay well below 200 MB.
-SMALL_ROWS = "spark.loadlens.smallRows"
-SMALL_ROWS_DEFAULT = 1_000_000
+_TEXT = StringType()
 
+# Session setting: the most bytes a side may have to be broadcast, and its default.
+SMALL_BYTES = "spark.loadlens.broadcastBytes"
+SMALL_BYTES_DEFAULT = 128 * 1024 * 1024
 
-def _few(spark: SparkSession, rows: int) -> bool:
-    return rows <= int(spark.conf.get(SMALL_ROWS, str(SMALL_ROWS_DEFAULT)))
+
+def _bytes(df: DataFrame) -> Column:
+    """Bytes the rows take in Spark's row format: a word per column, the text, and the row's frame."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType == _TEXT]
+    fixed = F.lit(16 + 8 * len(df.columns)).cast("bigint")
+    return F.coalesce(F.sum(reduce(Column.__add__, texts, fixed)), F.lit(0)).alias("bytes")
+
+
+def _fits(spark: SparkSession, size: int) -> bool:
+    return size <= int(spark.conf.get(SMALL_BYTES, str(SMALL_BYTES_DEFAULT)))
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether a join side is proven small enough to broadcast, by counting its rows.
+    """Whether a join side is proven small enough to broadcast, by adding up its rows.
 
     Spark's own estimate of a filtered or aggregated side can be far too high, and by the time its
     true size is known at run time the large side has already been shuffled.
     """
-    return _few(df.sparkSession, df.count())
+    return _fits(df.sparkSession, df.agg(_bytes(df)).first()["bytes"])
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -91,11 +101,11 @@ class SnapWindow:
 
 
 def measured(rows: DataFrame, first: date | None = None, last: date | None = None) -> SnapWindow:
-    """The rows with their number and range of snapshot ids, found by one aggregation of them."""
+    """The rows with their size and range of snapshot ids, found by one aggregation of them."""
     size = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.min("snap_id").alias("low"), F.max("snap_id").alias("high")
+        _bytes(rows), F.min("snap_id").alias("low"), F.max("snap_id").alias("high")
     ).first()
-    few = _few(rows.sparkSession, size["n"])
+    few = _fits(rows.sparkSession, size["bytes"])
     hinted = F.broadcast(rows) if few else rows
     return SnapWindow(hinted, few, size["low"], size["high"], first, last)
 

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from compare import connect, duck_rows, spark_rows
-from loadlens.operators.common import SMALL_ROWS
+from loadlens.operators.common import SMALL_BYTES
 
 SF_DIR = "/root/testdata/sf0.01"
 QUERIES = entry_point.queries()
@@ -51,7 +51,7 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", SIZE_CHECKED)
 def test_same_rows_without_broadcast(spark, duck, name):
     settings = {
-        SMALL_ROWS: "-1",
+        SMALL_BYTES: "-1",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     }

@@ -43,3 +43,16 @@ def test_top_n_needs_no_full_sort(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
     assert top.count() == 3
+
+
+def test_size_of_a_side_counts_text_and_rows(spark):
+    from loadlens.operators.common import SMALL_BYTES, is_small
+
+    df = spark.createDataFrame([(1, "abcd"), (2, None)], "k bigint, s string")
+    assert is_small(df) and is_small(df.where("k > 9"))
+    try:
+        for limit, small in ((68, True), (67, False), (-1, False)):
+            spark.conf.set(SMALL_BYTES, str(limit))
+            assert is_small(df) is small, limit
+    finally:
+        spark.conf.unset(SMALL_BYTES)

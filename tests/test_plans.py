@@ -7,12 +7,12 @@ import re
 import pytest
 
 import __spark_entry__ as entry_point
-from loadlens.operators.common import SMALL_ROWS
+from loadlens.operators.common import SMALL_BYTES
 from loadlens.sources import Telemetry
 
 SF_DIR = "/root/testdata/sf0.001"
 LARGE = {
-    SMALL_ROWS: "-1",
+    SMALL_BYTES: "-1",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
 }

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from frames import DAY, at, frame, row_set, rows, snap
 from loadlens import operators as op
 from loadlens.functions import look_back
-from loadlens.operators.common import SMALL_ROWS
+from loadlens.operators.common import SMALL_BYTES
 from loadlens.sources import Telemetry
 
 SF_DIR = "/root/testdata/sf0.001"
 BTIME, ETIME = look_back(datetime(2024, 1, 31))
 HOUR = timedelta(hours=1)
 LARGE = {
-    SMALL_ROWS: "-1",
+    SMALL_BYTES: "-1",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
 }
