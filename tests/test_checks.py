@@ -23,6 +23,8 @@ SIZE_CHECKED = [
     "job_sql_attribution",
     "job_sql_attribution_all",
     "daily_logons",
+    "daily_connect_time",
+    "sql_common_info",
     "corrupt_extents",
     "long_operations_running",
 ]
