@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadlens.llm import packing, pii, quality_rules, sharding
+from loadlens.llm import near_dedup, packing, pii, quality_rules, sharding
 from loadlens.llm.common import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op1_shuffled_shards": _of("documents", sharding.placed),
         "op2_divergence_rules": _of("documents", quality_rules.judged),
         "op3_personal_data": _of("documents", pii.found),
+        "op4_setsketch_near_duplicates": _of("documents", near_dedup.near_duplicates),
         "op5_power_of_two_packing": _of("documents", packing.packed),
     }
 
