@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadlens.llm import near_dedup, packing, pii, quality_rules, sharding
+from loadlens.llm import (
+    decontamination,
+    near_dedup,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    toxicity,
+)
 from loadlens.llm.common import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +25,10 @@ def _of(name: str, build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(table(shipped(spark), sf_dir, name))
 
 
+def _with(other: str, build: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(table(shipped(spark), sf_dir, "documents"), table(spark, sf_dir, other))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_shuffled_shards": _of("documents", sharding.placed),
@@ -23,6 +36,9 @@ def queries() -> dict[str, Query]:
         "op3_personal_data": _of("documents", pii.found),
         "op4_setsketch_near_duplicates": _of("documents", near_dedup.near_duplicates),
         "op5_power_of_two_packing": _of("documents", packing.packed),
+        "op6_weak_toxicity": _with("labels", toxicity.scored),
+        "op7_random_indexing_quality": _with("labels", quality_classifier.scored),
+        "op8_latent_decontamination": _with("benchmark", decontamination.contaminated),
     }
 
 
