@@ -48,8 +48,17 @@ def in_fold(key: int, folds: int) -> int:
     return zlib.crc32(str(key).encode()) % folds
 
 
+#: Rows and bytes that Python workers get at once.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once a session, so that their Python finds it."""
+    """Send this package to the executors, once a session, so that their Python finds it; bound their batches."""
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
     context = spark.sparkContext
     if not any("loadlens_code" in name for name in context.listFiles):
         package = Path(__file__).resolve().parents[1]
