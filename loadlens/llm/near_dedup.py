@@ -5,8 +5,10 @@ copies are never compared. Each class has a SetSketch: registers that hold expon
 truncated minima of the shingles' hashes. Four registers make a band; classes that share a band meet
 in a bucket. In a bucket not all pairs are formed: members are held against one centre, the member
 that meets most others, and only members that no link joins to the rest are looked at again, at last
-with every member of another component. The likelihood of the registers rules out hopeless pairs,
-and what is left is confirmed on the full sets. Links become components by label propagation.
+with every member of another component. Shingles that no other member has are counted first: a text
+with too many of them can link with none, which settles texts that share a mere passage without
+forming pairs. The likelihood of the registers rules out hopeless pairs, and what is left is
+confirmed on the full sets. Links become components by label propagation.
 
 With 32 bands of four registers a pair at the limit of 0.75 misses all buckets in 5 of a million
 cases, closer pairs far more rarely.
@@ -19,10 +21,12 @@ are ignored here; ``deduplicated`` keeps them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.llm.common import stored
@@ -40,7 +44,7 @@ LIMIT = (1 << 16) - 2
 RATE = 20.0
 #: A pair is ruled out if the best similarity over the limit is this much less likely (natural logarithm) than the best of all.
 LOG_RATIO = 14.0
-#: Rounds with one centre a bucket before the rest is held against each other.
+#: Turns with one centre a bucket before the rest is held against each other.
 ROUNDS = 2
 #: A side of at most this many rows of 40 bytes is sent to all tasks.
 BROADCAST_ROWS = 400_000
@@ -165,8 +169,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.filter(F.arrow_udf(judge, "boolean")("x_a", "x_b")).select("a", "b")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The full sets of the classes in ``pairs``, from one document of each."""
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The full sets of the classes in ``wanted`` (distinct), from one document of each."""
 
     def collect(texts: pa.Array) -> pa.Array:
         rows = []
@@ -175,7 +179,6 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
             rows.append({"class": xxhash.xxh3_128_digest(data), "shingles": data})
         return pa.array(rows, pa.struct([("class", pa.binary()), ("shingles", pa.binary())]))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = stored(wanted.join(classes.select("class", "label"), "class").select("label").distinct(), "wanted")
     # Ids of 8 bytes: sent to all tasks only while they are few, else a shuffle join.
     if wanted.count() <= BROADCAST_ROWS:
@@ -216,58 +219,89 @@ def _members(classes: DataFrame) -> DataFrame:
     return stored(keyed.join(counts, "key"), "members")
 
 
+def _lone(sets: DataFrame) -> DataFrame:
+    """``class`` and ``lone``: how many of its shingles no other class has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(data, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(name, len(own)), pa.array(own)], names=["class", "shingle"])
+
+    rows = sets.select("class", "shingles").mapInArrow(spread, "class binary, shingle bigint")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1")
+    return once.groupBy("class").agg(F.count("*").alias("lone"))
+
+
+def _room(lone: Column, common: Column) -> Column:
+    """Whether a link is possible with so many shingles in one text alone and at most so many in common."""
+    return SIMILARITY * lone <= (100 - SIMILARITY) * common
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Pairs with the lesser class first, once each, if their sizes allow a link."""
     fits = 100 * F.least("n", "n_centre") >= SIMILARITY * F.greatest("n", "n_centre")
-    pairs = pairs.filter(fits & (F.col("class") != F.col("centre")))
+    common = F.least(F.col("n") - F.col("lone"), F.col("n_centre") - F.col("lone_centre"))
+    fits &= _room(F.col("lone") + F.col("lone_centre"), common)
+    pairs = pairs.filter(fits & (F.col("class") != F.col("centre")) & (F.col("comp") != F.col("comp_centre")))
     return pairs.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
 
 
+def _unsettled(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    return members.join(keys.select("key"), "key")
+
+
+def _as_centres(members: DataFrame) -> DataFrame:
+    own = ("class", "n", "lone", "comp")
+    return members.select("key", *[F.col(c).alias("centre" if c == "class" else f"{c}_centre") for c in own])
+
+
 def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confirmed links between classes, enough to join every component; and the components."""
+    spark = docs.sparkSession
     members = _members(classes)
     hubs = members.groupBy("class").agg(F.sum("met").alias("hub"))
-    members = stored(members.join(hubs, "class").select("key", "class", "n", "hub"), "members")
-    schema = "a binary, b binary"
-    spark = docs.sparkSession
-    all_links = spark.createDataFrame([], schema)
-    tried = spark.createDataFrame([], schema)
+    members = members.join(hubs, "class")
+    members = stored(members.select("key", "class", "n", "hub", F.lit(0).cast("long").alias("lone")), "members")
+    found = spark.createDataFrame([], "a binary, b binary")
     comps = spark.createDataFrame([], "class binary, comp binary")
+    sets = None
+    best = F.max(F.struct("hub", "n", "lone", "class", "comp")).alias("best")
     for turn in range(ROUNDS + 1):
-        comp = F.coalesce("comp", "class").alias("comp")
-        current = members.join(comps, "class", "left").select("key", "class", "n", "hub", comp)
-        # Buckets of one component are done.
-        mixed_keys = current.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        current = stored(current.join(mixed_keys.select("key"), "key"), "current")
+        named = members.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        current = stored(_unsettled(named), "unsettled")
+        if turn == 1:
+            # Shingles that no other unsettled class has are in no link, so many of them rule a class out.
+            sets = _sets(docs, classes, current.select("class").distinct())
+            current = current.drop("lone").join(_lone(sets), "class", "left").fillna({"lone": 0})
+            current = current.filter(_room(F.col("lone"), F.col("n") - F.col("lone")))
+            current = stored(_unsettled(current), "unsettled")
+            members = current.drop("comp")
         if current.limit(1).count() == 0:
             break
         if turn < ROUNDS:
-            # The centre is the member that meets most others, in later rounds one outside the first centre's component.
-            best = F.max(F.struct("hub", "n", "class", "comp")).alias("best")
+            # The centre is the member that meets most others; in later turns one outside the first centre's component.
             centres = current.groupBy("key").agg(best).select("key", "best.*")
             if turn:
                 first = centres.select("key", F.col("comp").alias("first"))
                 rest = current.join(first, "key").filter("comp <> first")
                 centres = rest.groupBy("key").agg(best).select("key", "best.*")
+            pairs = current.join(_as_centres(centres), "key")
         else:
             # The exact way for what is left: members of different components, each pair once.
-            centres = current
-        centres = centres.select(
-            "key", F.col("class").alias("centre"), F.col("n").alias("n_centre"), F.col("comp").alias("comp_centre")
-        )
-        current = current.join(centres, "key")
-        if turn == ROUNDS:
-            current = current.filter(F.col("class") < F.col("centre"))
-        pairs = _ordered(current.filter(F.col("comp") != F.col("comp_centre")))
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        possible = stored(_possible(pairs, classes), "possible")
+            pairs = current.join(_as_centres(current), "key").filter(F.col("class") < F.col("centre"))
+        possible = stored(_possible(_ordered(pairs), classes), "possible")
         if possible.limit(1).count():
-            sets = _sets(docs, classes, possible)
-            found = stored(_confirmed(possible, sets), "links")
-            all_links = all_links.union(found)
-            comps = components(all_links)
-        tried = tried.union(pairs)
-    return all_links, comps
+            if sets is None or not turn:
+                wanted = possible.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+                confirmed = _confirmed(possible, _sets(docs, classes, wanted))
+            else:
+                confirmed = _confirmed(possible, sets)
+            found = found.union(stored(confirmed, "links"))
+            comps = components(found)
+    return found, comps
 
 
 def membership(docs: DataFrame) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loadlens.llm import (
     decontamination,
+    html_extraction,
     near_dedup,
     packing,
     pii,
     quality_classifier,
     quality_rules,
+    secrets,
     sharding,
     toxicity,
 )
@@ -39,6 +41,8 @@ def queries() -> dict[str, Query]:
         "op6_weak_toxicity": _with("labels", toxicity.scored),
         "op7_random_indexing_quality": _with("labels", quality_classifier.scored),
         "op8_latent_decontamination": _with("benchmark", decontamination.contaminated),
+        "op9_tree_model_main_text": _of("pages", html_extraction.extracted),
+        "op10_forest_secret_scan": _of("documents", secrets.found),
     }
 
 
