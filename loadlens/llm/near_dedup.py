@@ -43,7 +43,9 @@ BASE = 1.001
 LIMIT = (1 << 16) - 2
 RATE = 20.0
 #: A pair is ruled out if the best similarity over the limit is this much less likely (natural logarithm) than the best of all.
-LOG_RATIO = 14.0
+LOG_RATIO = 12.0
+#: Shingles in a block of a bucket's last members, about.
+BLOCK = 50_000
 #: Turns with one centre a bucket before the rest is held against each other.
 ROUNDS = 2
 #: A side of at most this many rows of 40 bytes is sent to all tasks.
@@ -233,16 +235,12 @@ def _lone(sets: DataFrame) -> DataFrame:
     return once.groupBy("class").agg(F.count("*").alias("lone"))
 
 
-def _room(lone: Column, common: Column) -> Column:
-    """Whether a link is possible with so many shingles in one text alone and at most so many in common."""
-    return SIMILARITY * lone <= (100 - SIMILARITY) * common
-
-
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Pairs with the lesser class first, once each, if their sizes allow a link."""
     fits = 100 * F.least("n", "n_centre") >= SIMILARITY * F.greatest("n", "n_centre")
+    # No more than this can be in common, and the union is the rest of both.
     common = F.least(F.col("n") - F.col("lone"), F.col("n_centre") - F.col("lone_centre"))
-    fits &= _room(F.col("lone") + F.col("lone_centre"), common)
+    fits &= 100 * common >= SIMILARITY * (F.col("n") + F.col("n_centre") - common)
     pairs = pairs.filter(fits & (F.col("class") != F.col("centre")) & (F.col("comp") != F.col("comp_centre")))
     return pairs.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
 
@@ -258,6 +256,55 @@ def _as_centres(members: DataFrame) -> DataFrame:
     return members.select("key", *[F.col(c).alias("centre" if c == "class" else f"{c}_centre") for c in own])
 
 
+def _rest(current: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of one bucket in different components, found exactly without forming pairs.
+
+    A bucket is dealt into blocks of about ``BLOCK`` shingles by hash. Blocks meet two by two, each
+    meeting is one row, and products of incidence matrices give all intersections in it.
+    """
+    blocks = F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")
+    sized = current.groupBy("key").agg(blocks)
+    dealt = current.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    member = F.struct("class", "comp", "shingles")
+    dealt = dealt.join(sets, "class").groupBy("key", "block").agg(F.collect_list(member).alias("members"))
+    dealt = stored(dealt, "blocks")
+    other = dealt.select("key", F.col("block").alias("block_b"), F.col("members").alias("b"))
+    meetings = dealt.join(other, "key").filter("block <= block_b").select(F.col("members").alias("a"), "b")
+
+    def meet(left: pa.Array, right: pa.Array) -> pa.Array:
+        rows = []
+        for x, y in zip(left, right, strict=True):
+            rows.append([{"a": min(p), "b": max(p)} for p in _links_between(x.as_py(), y.as_py())])
+        return pa.array(rows, pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())])))
+
+    made = stored(meetings.select(F.arrow_udf(meet, "array<struct<a:binary,b:binary>>")("a", "b").alias("l")), "meetings")
+    return made.select(F.inline("l")).distinct()
+
+
+def _links_between(left: list[dict], right: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+    """Classes of two blocks in different components whose full sets are similar enough."""
+    sides = [[np.frombuffer(m["shingles"], np.uint64) for m in block] for block in (left, right)]
+    flat = [np.concatenate(sets) for sets in sides]
+    both = np.intersect1d(*flat)
+    sizes = [np.array([len(s) for s in sets]) for sets in sides]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(both), 4096):
+        part = both[at : at + 4096]
+        held = []
+        for sets, values in zip(sides, flat, strict=True):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            real = part[place] == values
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            matrix = np.zeros((len(sets), len(part)), np.float32)
+            matrix[owner[real], place[real]] = 1
+            held.append(matrix)
+        common += held[0] @ held[1].T
+    close = 100 * common >= SIMILARITY * (sizes[0][:, None] + sizes[1][None, :] - common)
+    for i, j in np.argwhere(close):
+        if left[i]["comp"] != right[j]["comp"]:
+            yield left[i]["class"], right[j]["class"]
+
+
 def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confirmed links between classes, enough to join every component; and the components."""
     spark = docs.sparkSession
@@ -276,30 +323,27 @@ def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             # Shingles that no other unsettled class has are in no link, so many of them rule a class out.
             sets = _sets(docs, classes, current.select("class").distinct())
             current = current.drop("lone").join(_lone(sets), "class", "left").fillna({"lone": 0})
-            current = current.filter(_room(F.col("lone"), F.col("n") - F.col("lone")))
+            current = current.filter(100 * (F.col("n") - F.col("lone")) >= SIMILARITY * F.col("n"))
             current = stored(_unsettled(current), "unsettled")
             members = current.drop("comp")
         if current.limit(1).count() == 0:
             break
-        if turn < ROUNDS:
-            # The centre is the member that meets most others; in later turns one outside the first centre's component.
-            centres = current.groupBy("key").agg(best).select("key", "best.*")
-            if turn:
-                first = centres.select("key", F.col("comp").alias("first"))
-                rest = current.join(first, "key").filter("comp <> first")
-                centres = rest.groupBy("key").agg(best).select("key", "best.*")
-            pairs = current.join(_as_centres(centres), "key")
-        else:
-            # The exact way for what is left: members of different components, each pair once.
-            pairs = current.join(_as_centres(current), "key").filter(F.col("class") < F.col("centre"))
+        if turn == ROUNDS:
+            found = found.union(stored(_rest(current, sets), "links"))
+            comps = components(found)
+            break
+        # The centre is the member that meets most others; in later turns one outside the first centre's component.
+        centres = current.groupBy("key").agg(best).select("key", "best.*")
+        if turn:
+            first = centres.select("key", F.col("comp").alias("first"))
+            rest = current.join(first, "key").filter("comp <> first")
+            centres = rest.groupBy("key").agg(best).select("key", "best.*")
+        pairs = current.join(_as_centres(centres), "key")
         possible = stored(_possible(_ordered(pairs), classes), "possible")
         if possible.limit(1).count():
-            if sets is None or not turn:
-                wanted = possible.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-                confirmed = _confirmed(possible, _sets(docs, classes, wanted))
-            else:
-                confirmed = _confirmed(possible, sets)
-            found = found.union(stored(confirmed, "links"))
+            wanted = possible.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+            full = sets if turn else _sets(docs, classes, wanted)
+            found = found.union(stored(_confirmed(possible, full), "links"))
             comps = components(found)
     return found, comps
 
