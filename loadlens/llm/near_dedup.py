@@ -372,7 +372,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     goes = F.bool_and(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = membership(docs).groupBy(F.col("doc_id").alias("_gone")).agg(goes.alias("_goes")).filter("_goes")
-    return docs.join(gone.select("_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    # By frame, for docs may have a column of the same name.
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -65,8 +65,10 @@ _DOT = r"(?:dot|point|punkt|punto)"
 _SIGNS = re.compile(
     rf"(?P<at>[ ]?[\[({{<][ ]?{_AT}[ ]?[\])}}>][ ]?)|(?P<dot>[ ]?[\[({{<][ ]?{_DOT}[ ]?[\])}}>][ ]?)", re.IGNORECASE
 )
+# Ends of host names that make bare words an address.
+_ENDS = "com|org|net|edu|gov|info|biz|io|dev|app|co|uk|de|fr|es|it|nl|ch|at|be|eu|us|ca|mx|br|ar|in|jp|cn|au|ru"
 _BARE = re.compile(
-    rf"[A-Za-z0-9_%+-]+(?:[ ]{_DOT}[ ][A-Za-z0-9_%+-]+)?(?P<at>[ ]{_AT}[ ]|@)[A-Za-z0-9-]+(?:[ ]{_DOT}[ ][A-Za-z0-9-]+)+(?!\w)",
+    rf"[A-Za-z0-9_%+-]+(?:[ ]{_DOT}[ ][A-Za-z0-9_%+-]+)?(?P<at>[ ]{_AT}[ ]|@)[A-Za-z0-9-]+(?:[ ]{_DOT}[ ][A-Za-z0-9-]+)*[ ]{_DOT}[ ](?:{_ENDS})(?!\w)",
     re.IGNORECASE,
 )
 _BARE_SIGN = re.compile(rf"[ ](?:(?P<at>{_AT})|{_DOT})[ ]", re.IGNORECASE)

@@ -114,7 +114,7 @@ class Forest:
 
     def _grow(self, tree: list, x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator) -> int:
         at = len(tree)
-        share = float(y.mean())
+        share = float(y.mean()) if len(y) else 0.0
         tree.append((-1, 0.0, 0, 0, share))
         if depth == DEPTH or share in (0.0, 1.0) or len(y) < 2 * LEAST_LEAF:
             return at
