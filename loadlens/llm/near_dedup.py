@@ -47,7 +47,7 @@ LOG_RATIO = 12.0
 #: Shingles in a block of a bucket's last members, about.
 BLOCK = 50_000
 #: Turns with one centre a bucket before the rest is held against each other.
-ROUNDS = 2
+ROUNDS = 1
 #: A side of at most this many rows of 40 bytes is sent to all tasks.
 BROADCAST_ROWS = 400_000
 
