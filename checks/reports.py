@@ -310,7 +310,7 @@ REPORTS: dict[str, str] = {
             where upper(sql_text) like '%RED_WIDGET%' or upper(sql_text) like '%BLUE_BOLT%'),
         stat as (
             select q.sql_id sqlid, date_trunc('day', n.begin_interval_time) tl,
-                substr(q.sql_text, 1, 4000) sql_text, s.*,
+                q.sql_text, s.*,
                 dense_rank() over (partition by s.sql_id
                     order by date_trunc('day', n.begin_interval_time) desc nulls first) drnk
             from queries q left join sqlstat s on s.sql_id = q.sql_id

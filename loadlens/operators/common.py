@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 from datetime import date, datetime
@@ -52,14 +51,12 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """The rows kept in the checkpoint folder, for a side that is used several times.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session that
-    names none gets a temporary one; elsewhere the rows are then computed again on each use.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Without one the rows are
+    computed again on each use.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="loadlens-")
         if folder is None:
             return df
         context.setCheckpointDir(folder)

@@ -52,8 +52,10 @@ def _exact_distinct(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
             value = value + F.lit(0.0).cast(field.dataType)  # one zero, not two
         text = F.base64(value) if isinstance(field.dataType, T.BinaryType) else value.cast("string")
-        digest = F.when(F.length(text) > _LONG_TEXT, F.sha2(text, 256)).otherwise(text)
-        values.append(F.struct(F.lit(i).alias("position"), digest.alias("value")))
+        long = F.length(text) > _LONG_TEXT
+        digest = F.when(long, F.sha2(text, 256)).otherwise(text)
+        # A digest is told apart from a text that reads the same.
+        values.append(F.struct(F.lit(i).alias("position"), long.alias("long"), digest.alias("value")))
     return (
         df.select(F.inline(F.array(*values)))
         .where("value is not null")

@@ -190,7 +190,7 @@ def queries_by_text(
     queries = settled(
         tables["sqltext"]
         .where(found)
-        .select(F.col("sql_id").alias("sqlid"), F.substring("sql_text", 1, 4000).alias("sql_text"))
+        .select(F.col("sql_id").alias("sqlid"), "sql_text")
     )
     ids = broadcast_if_small(queries.select(F.col("sqlid").alias("sql_id")))
     begins = tables["snapshot"].select(*SNAP_KEYS, "begin_interval_time")

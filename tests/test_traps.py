@@ -220,12 +220,12 @@ def test_text_search_keeps_latest_day_and_unknown_day_first(spark):
     assert both.count() == 4
 
 
-def test_found_text_is_cut_at_4000_but_searched_in_full(spark):
+def test_found_text_is_searched_and_returned_in_full(spark):
     t = stats(spark)
     long_text = "x" * 5000 + " from needle"
     t["sqltext"] = frame(spark, "sqltext", [{"sql_id": "a", "command_type": 3, "sql_text": long_text}])
     ((text,),) = rows(op.queries_by_text(t, patterns=["NEEDLE"]), "sql_text")
-    assert text == long_text[:4000]
+    assert text == long_text
 
 
 def sample(snap_id, second=0, **more):
@@ -897,3 +897,12 @@ def test_all_reports_on_a_statement(spark):
     ]
     assert {r for (r,) in rows(found["sql_stats_daily"], "sqlid")} == {"s1"}
     assert found["plan_stats"].count() > 0
+
+
+def test_a_text_and_its_own_digest_are_two_values(spark):
+    from hashlib import sha256
+
+    long_text = "x" * 80
+    df = spark.createDataFrame([(long_text,), (sha256(long_text.encode()).hexdigest(),)], "c string")
+    got = op.table_profile({"t": df}, as_of=datetime(2024, 1, 31), exact_distinct=True)
+    assert [r["num_distinct"] for r in got.collect()] == [2]
