@@ -46,5 +46,34 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: Components by comparing every two documents that share a shingle.
+_NEAR_DUPLICATES = r"""
+    with recursive
+    split as (
+        select doc_id, list_filter(regexp_split_to_array(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') w
+        from documents),
+    sets as (
+        select doc_id, case
+            when w is null or len(w) = 0 then cast([] as varchar[])
+            when len(w) < 5 then [array_to_string(w, ' ')]
+            else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end s
+        from split),
+    flat as (select doc_id, len(s) n, unnest(s) g from sets),
+    links as (
+        select a.doc_id a, b.doc_id b from flat a join flat b on a.g = b.g and a.doc_id <> b.doc_id
+        group by a.doc_id, b.doc_id, a.n, b.n
+        having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    reach as (
+        select doc_id, doc_id other from sets
+        union
+        select r.doc_id, l.b from reach r join links l on l.a = r.other),
+    least as (select doc_id, min(other) component_id from reach group by doc_id)
+    select s.doc_id, cast(len(s.s) as bigint) n_shingles, l.component_id, s.doc_id = l.component_id kept
+    from sets s join least l using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Check SQL for the query that SQL expresses plainly; the tests hold the others against plain versions."""
+    return {"op4_setsketch_near_duplicates": _NEAR_DUPLICATES}
