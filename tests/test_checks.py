@@ -5,12 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_point
+from checks import check_sql
 from compare import connect, duck_rows, spark_rows
 from loadlens.operators.common import SMALL_BYTES
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES = entry_point.queries()
-CHECKS = entry_point.oracle_sql()
+QUERIES = entry_point.report_queries()
+CHECKS = check_sql()
 
 # Reports that choose between a broadcast and another way by the size of a side.
 SIZE_CHECKED = [
