@@ -191,6 +191,43 @@ def _daily(stat: str, column: str, scale: int) -> str:
         group by 1, 2"""
 
 
+# The given tables in the order they are read, with the columns that identify their rows.
+_IDENTIFIED = {
+    "region": "r_regionkey",
+    "nation": "n_nationkey",
+    "customer": "c_custkey",
+    "supplier": "s_suppkey",
+    "part": "p_partkey",
+    "orders": "o_orderkey",
+    "lineitem": None,
+    "events": "event_id",
+    "documents": "doc_id",
+    "embeddings": "vec_id",
+    "pages": "page_id",
+    "benchmark": "item_id",
+    "labels": "doc_id",
+    "conversations": "conv_id, turn",
+}
+
+
+def _validated(position: int, table: str, keys: str | None) -> str:
+    label = f"TABLE GIVEN.{table}"
+    null_keys = repeated = "cast(null as bigint)"
+    if keys:
+        absent = " or ".join(f"{k.strip()} is null" for k in keys.split(","))
+        null_keys = f"count(*) filter (where {absent})"
+        repeated = f"(count(*) - {null_keys} - count(distinct ({keys})) filter (where not ({absent})))"
+    return f"""
+        select "position", owner, object_name, object_type, num_rows, null_keys, duplicate_keys,
+            case when null_keys + duplicate_keys > 0 then 'FAILED' else 'OK' end status,
+            case when null_keys + duplicate_keys > 0 then '{label} has ' || null_keys ||
+                    ' rows with a NULL key and ' || duplicate_keys || ' repeated keys'
+                else '{label} successfully validated' end message
+        from (select 'ELEMENT #{position} of {len(_IDENTIFIED)}: GIVEN.{table} (TABLE)' "position",
+            'GIVEN' owner, '{table}' object_name, 'TABLE' object_type, count(*) num_rows,
+            {null_keys} null_keys, {repeated} duplicate_keys from {table})"""
+
+
 def _column_profile(table: str, column: str, width: int | None) -> str:
     size = f"case when {column} is null then 0 else {width or f'strlen({column})'} end"
     return f"""
@@ -362,6 +399,7 @@ REPORTS: dict[str, str] = {
                     cast(sum((st.num_rows - cs.num_nulls) * cs.avg_col_len) as bigint) rowset
                 from ind_column ic
                     join ind_stat st on st.owner = ic.index_owner and st.index_name = ic.index_name
+                        and st.partition_name is null
                     join col_stat cs on cs.column_name = ic.column_name
                     join tbl t on t.owner = cs.owner and t.table_name = cs.table_name
                 where ic.index_owner = i.owner and ic.index_name = i.index_name
@@ -370,6 +408,8 @@ REPORTS: dict[str, str] = {
     "index_usage": _INDEX_USAGE.format(kept="", unused=""),
     "index_usage_not_in_plans": _INDEX_USAGE.format(
         kept="""where not exists (select 1 from plan_line p
+            where p.object_owner = i.owner and p.object_name = i.index_name)
+            and not exists (select 1 from plan_line_hist p
             where p.object_owner = i.owner and p.object_name = i.index_name)""",
         unused="",
     ),
@@ -431,6 +471,11 @@ REPORTS: dict[str, str] = {
             object_owner, object_name, object_type, optimizer, cost, cardinality, bytes,
             cpu_cost, io_cost, access_predicates, filter_predicates
         from plan_line""",
+    "plan_lines_hist": """
+        select sql_id, plan_hash_value, id, repeat(' ', depth) || operation operation, options,
+            object_owner, object_name, object_type, optimizer, cost, cardinality, bytes,
+            cpu_cost, io_cost, access_predicates, filter_predicates
+        from plan_line_hist""",
     "tablespace_usage": f"""
         with total as (
             select tablespace_name, {rounded("sum(bytes)", "1", MIB)} mb
@@ -504,4 +549,7 @@ REPORTS: dict[str, str] = {
         for table, columns in _PROFILED.items()
         for column, width in columns.items()
     ),
+    "validate_tables": " union all ".join(
+        _validated(i, table, keys) for i, (table, keys) in enumerate(_IDENTIFIED.items(), start=1)
+    ),
 }

@@ -78,7 +78,8 @@ VIEWS: dict[str, str] = {
             'select ' || o_orderpriority || ' from orders' sql_fulltext
         from orders""",
     "sqlstats_delta": """
-        select 's' || o_orderkey sql_id, 1000 + o_orderkey % 9973 plan_hash_value,
+        select case when o_orderstatus = 'P' then 'x' else 's' end || o_orderkey sql_id,
+            1000 + o_orderkey % 9973 plan_hash_value,
             o_custkey % 17 delta_execution_count,
             cast(round(o_totalprice * 100) as bigint) * 10000 delta_elapsed_time,
             cast(round(o_totalprice * 100) as bigint) * 100 delta_cpu_time,
@@ -87,7 +88,7 @@ VIEWS: dict[str, str] = {
             case when o_orderstatus <> 'F' then o_custkey * 20000 end avg_hard_parse_time,
             o_custkey * 3 delta_disk_reads, o_custkey * 5 delta_buffer_gets,
             o_custkey % 100 delta_rows_processed, o_custkey % 4 delta_px_servers_executions
-        from orders where o_orderstatus <> 'P'""",
+        from orders""",
     "plan_line": """
         select 's' || l_orderkey sql_id, 1000 + l_orderkey % 9973 plan_hash_value,
             cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey,
@@ -106,9 +107,15 @@ VIEWS: dict[str, str] = {
             case when l_returnflag = 'R' then 'V>' || l_suppkey end filter_predicates,
             'C' || l_linenumber projection
         from lineitem""",
+    "plan_line_hist": """
+        select * replace (plan_hash_value + 20000 as plan_hash_value,
+            case when object_type = 'INDEX (UNIQUE)' and object_name is not null
+                then 'IDX_' || (cardinality + 1) else object_name end as object_name)
+        from plan_line""",
     "plan_monitor": """
         select sql_id, plan_hash_value sql_plan_hash_value,
-            16777216 + plan_hash_value % 3 sql_exec_id, id plan_line_id,
+            16777216 + plan_hash_value % 3 sql_exec_id,
+            cast(case when cost > 10 or id = 0 then id else id + 1000 end as integer) plan_line_id,
             case when cost % 2 = 0 then 'DONE' else 'EXECUTING' end status, plan_hash_value sid,
             timestamp '2024-01-01 00:00:00' sql_exec_start,
             timestamp '2024-01-01 00:00:10' first_refresh_time,
@@ -122,7 +129,7 @@ VIEWS: dict[str, str] = {
             object_owner plan_object_owner, object_name plan_object_name,
             object_type plan_object_type, cost plan_cost, cardinality plan_cardinality,
             bytes plan_bytes
-        from plan_line where cost > 10 or id = 0""",
+        from plan_line""",
     "idx": f"""
         select {_INDEX_OWNER} owner, 'IDX_' || p_partkey index_name, p_brand table_owner,
             p_type table_name,
@@ -136,7 +143,9 @@ VIEWS: dict[str, str] = {
         select {_INDEX_OWNER} index_owner, 'IDX_' || p_partkey index_name, c.column_name
         from part join (values ('C1'), ('C2'), ('C3')) c(column_name)
             on p_size % 2 = 0 or c.column_name = 'C1'""",
-    "ind_stat": "select owner, index_name, num_rows from idx",
+    "ind_stat": """
+        select owner, index_name, p.partition_name, num_rows
+        from idx, (values (cast(null as varchar)), ('P1')) p(partition_name)""",
     "tbl": """
         select distinct table_owner owner, table_name, timestamp '2024-01-01 00:00:00' last_analyzed,
             'YES' monitoring
@@ -220,7 +229,9 @@ VIEWS: dict[str, str] = {
     "mview_log": "select table_name log_table from tab_statistic where table_name like 'T%9'",
     "longop": """
         select user_id sid, user_id % 3 serial_no, 's' || (user_id % 20) sql_id,
-            event_type opname, event_id % 7 time_remaining
+            event_type opname, event_id % 50 sofar, cast(50 as bigint) totalwork,
+            event_id % 90 elapsed_time, event_id % 7 time_remaining,
+            event_type || ': ' || (event_id % 50) || ' out of 50' message
         from events""",
     "active_now": """
         select user_id session_id, event_id % 3 session_serial, 's' || (user_id % 20) sql_id,

@@ -12,6 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Holds any product of a counter and a unit.
+WIDE = "decimal(38,0)"
+
+
 def _div(num: Column, den: Column) -> Column:
     return F.call_function("div", num, den)
 
@@ -20,8 +24,8 @@ def half_up(num: Column, den: Column | int = 1, *, scale: int = 1, digits: int =
     """``round(num / den / scale, digits)`` with ties away from zero.
 
     ``num`` and ``den`` are whole numbers. The result is BIGINT for ``digits=0``, else DOUBLE. It is
-    NULL when either side is NULL or ``den`` is zero. Counters too large for BIGINT raise (ANSI mode)
-    rather than wrap.
+    NULL when either side is NULL or ``den`` is zero. The steps between are DECIMAL, so only a result
+    too large for BIGINT raises (ANSI mode).
     """
     den = F.lit(den).cast("bigint") if isinstance(den, int) else den
     power = 10**digits
@@ -29,8 +33,9 @@ def half_up(num: Column, den: Column | int = 1, *, scale: int = 1, digits: int =
     times, parts = power // common, scale // common
     if parts % 2:  # an even bottom makes its half a whole number
         times, parts = times * 2, parts * 2
-    top = F.abs(num) * F.lit(times) + F.abs(den) * F.lit(parts // 2)
-    size = _div(top, F.nullif(F.abs(den) * F.lit(parts), F.lit(0)))
+    wide_num, wide_den = F.abs(num.cast(WIDE)), F.abs(den.cast(WIDE))
+    top = wide_num * F.lit(times) + wide_den * F.lit(parts // 2)
+    size = _div(top, F.nullif(wide_den * F.lit(parts), F.lit(0)))
     signed = F.when((num < 0) != (den < 0), -size).otherwise(size)
     return signed / F.lit(float(power)) if digits else signed
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.functions import half_up, ts_lit
+from loadlens.functions.rounding import WIDE
 from loadlens.operators.common import Tables, only
 from loadlens.operators.storage import MIB
 
@@ -26,9 +27,7 @@ def index_size_estimate(
     """
     idx = only(tables["idx"], "index_name", indexes)
     idx = idx if owner is None else idx.where(F.col("owner") == owner)
-    entries = tables["ind_stat"]
-    if "partition_name" in entries.columns:  # the row of the whole index
-        entries = entries.where("partition_name is null")
+    entries = tables["ind_stat"].where("partition_name is null")  # the row of the whole index
     columns = tables["ind_column"].select(
         F.col("index_owner").alias("owner"), "index_name", "column_name"
     )
@@ -182,5 +181,5 @@ def index_usage(
         "inserts",
         "updates",
         "deletes",
-        half_up(touched * F.lit(60_000_000), micros).alias("row_modified_per_minute"),
+        half_up(touched.cast(WIDE) * F.lit(60_000_000), micros).alias("row_modified_per_minute"),
     ).orderBy(F.col("index_total_mb").desc_nulls_last(), *key)

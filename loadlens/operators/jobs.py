@@ -131,7 +131,8 @@ def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
     Jobs are listed under every snapshot they span, so samples meet them by equality on session
     and snapshot, and only the days and snapshots listed are read. While the listings are proven few
     they are broadcast and the samples are filtered in place; beyond that the samples are reduced
-    per session, snapshot and execution before they are shuffled. The samples are read once: the
+    per session, snapshot and execution before they are shuffled. Either way the matches are reduced
+    per job, statement and execution before the levels are formed. The samples are read once: the
     same pass also counts samples per job, which tells the jobs that had none.
     """
     job = [*by, *_JOB_KEY]
@@ -163,18 +164,29 @@ def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
             *[F.sum(c).alias(c) for c in ("sampled", "db", "cpu")]
         )
     n = F.col("n")
-    hits = (
+    # One row per job, statement and execution, before the grouping sets triple the rows.
+    met = (
         samples.join(window.rows, session)
-        .groupingSets([["job_prefix", "sql_id"], job, []], *job, "sql_id")
+        .groupBy(*job, "sql_id", "run")
+        .agg(
+            F.sum(F.col("sampled") * n).alias("rowcount"),
+            F.sum(F.col("db") * n).alias("db"),
+            F.sum(F.col("cpu") * n).alias("cpu"),
+            F.min("min_start").alias("min_start"),
+            F.max("max_duration").alias("max_duration"),
+        )
+    )
+    hits = (
+        met.groupingSets([["job_prefix", "sql_id"], job, []], *job, "sql_id")
         .agg(
             F.when(F.grouping("sid") == 0, _JOB)
             .when(F.grouping("job_prefix") == 0, _GROUP)
             .otherwise(_ALL)
             .alias("level"),
-            F.sum(F.col("sampled") * n).alias("rowcount"),
+            F.sum("rowcount").alias("rowcount"),
             F.countDistinct("run").alias("unq_run"),
-            F.sum(F.col("db") * n).alias("db"),
-            F.sum(F.col("cpu") * n).alias("cpu"),
+            F.sum("db").alias("db"),
+            F.sum("cpu").alias("cpu"),
             *_bounds("start_snap", "stop_snap", "min_start", "max_duration"),
         )
     )

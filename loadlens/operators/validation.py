@@ -6,8 +6,10 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("TABLE", "INDEX")
 
@@ -29,6 +31,20 @@ class Dataset:
     keys: tuple[str, ...] = field(default=())
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    """Whether a type is a map or has one anywhere inside; maps cannot be hashed."""
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def _is_damage(error: Exception) -> bool:
+    """Whether the error, or the task failure it reports, says that a stored file cannot be read."""
+    return "[FAILED_READ_FILE" in str(error)
+
+
 def _read_whole(spark: SparkSession, dataset: Dataset) -> tuple[int, int | None, int | None]:
     """Decode every column of every row; count rows, rows with a NULL key and repeated keys."""
     df = (
@@ -38,7 +54,7 @@ def _read_whole(spark: SparkSession, dataset: Dataset) -> tuple[int, int | None,
         .load(dataset.path)
     )
     every_column = F.xxhash64(
-        *[F.to_json(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes]
+        *[F.to_json(F.struct(f.name)) if _holds_map(f.dataType) else F.col(f.name) for f in df.schema]
     )
     counts = [F.count(F.lit(1)).alias("n"), F.bit_xor(every_column).alias("digest")]
     if dataset.keys:
@@ -57,8 +73,11 @@ def _verdict(spark: SparkSession, dataset: Dataset, position: str) -> tuple:
     try:
         rows, null_keys, repeated = _read_whole(spark, dataset)
     except Exception as error:  # one unreadable dataset must not stop the others
+        damaged = _is_damage(error)
+        if not damaged and not isinstance(error, AnalysisException):
+            raise
         reason = (str(error).strip() or type(error).__name__).splitlines()[0]
-        return (*head, None, None, None, "FAILED", f"{label} {reason}")
+        return (*head, None, None, None, "FAILED" if damaged else "ERROR", f"{label} {reason}")
     if null_keys or repeated:
         problem = f"{label} has {null_keys} rows with a NULL key and {repeated} repeated keys"
         return (*head, rows, null_keys, repeated, "FAILED", problem)
@@ -75,6 +94,9 @@ def validate_tables(
 ) -> DataFrame:
     """Read each selected dataset in full and report whether it is sound.
 
+    ``FAILED`` means damaged files, NULL keys or repeated keys. ``ERROR`` means that the dataset could
+    not be checked: its path or a key column does not exist. Any other error is raised.
+
     Each dataset is one Spark job; ``workers`` jobs are submitted at a time. Only the verdicts, one
     row per dataset, come back to the driver.
     """

@@ -214,8 +214,9 @@ def plan_tree_with_actuals(
 ) -> DataFrame:
     """Printed plans with what each step did in the given execution (in each, without one).
 
-    Steps never monitored are added as a separate branch rather than by an outer join: Spark can
-    split a hot step of an inner join on either side, but not the inner side of an outer join.
+    Steps never monitored join the actuals as rows without figures, found from keys alone, so that
+    the wide join runs once and is an inner one: Spark can split a hot step of an inner join on
+    either side, but not the inner side of an outer join.
     """
     monitor = only(tables["plan_monitor"], "sql_id", sql_ids)
     if exec_id is not None:
@@ -233,11 +234,15 @@ def plan_tree_with_actuals(
         F.col("workarea_max_tempseg").alias("max_temp"),
     )
     step = [*_PLAN_KEY, "id"]
-    steps = _cursors(tables, sql_ids, child=False).join(
-        only(tables["plan_line"], "sql_id", sql_ids), _PLAN_KEY
-    )
-    idle = steps.join(actuals.select(*step).distinct(), step, "left_anti")
-    rows = steps.join(actuals, step).unionByName(idle, allowMissingColumns=True)
+    lines = only(tables["plan_line"], "sql_id", sql_ids)
+    # A step without an id meets no actuals and stays.
+    actuals = actuals.where("id is not null")
+    idle = lines.select(*step).distinct().join(actuals.select(*step).distinct(), step, "left_anti")
+    found = actuals.unionByName(idle, allowMissingColumns=True)
+    found = found.withColumnsRenamed({name: f"_{name}" for name in step})
+    steps = _cursors(tables, sql_ids, child=False).join(lines, _PLAN_KEY)
+    same_step = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in step]
+    rows = steps.join(found, same_step).drop(*[f"_{name}" for name in step])
     return (
         _explode_lines(rows, [0, 1], "id")
         .select(

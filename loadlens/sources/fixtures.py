@@ -205,8 +205,8 @@ def sql_area(t: Telemetry) -> DataFrame:
 
 @_view
 def sqlstats_delta(t: Telemetry) -> DataFrame:
-    return t.given("orders").where("o_orderstatus <> 'P'").selectExpr(
-        "concat('s', o_orderkey) as sql_id",
+    return t.given("orders").selectExpr(
+        "concat(case when o_orderstatus = 'P' then 'x' else 's' end, o_orderkey) as sql_id",
         "1000 + o_orderkey % 9973 as plan_hash_value",
         "o_custkey % 17 as delta_execution_count",
         "cast(round(o_totalprice * 100) as bigint) * 10000 as delta_elapsed_time",
@@ -248,13 +248,28 @@ def plan_line(t: Telemetry) -> DataFrame:
     )
 
 
+@_view
+def plan_line_hist(t: Telemetry) -> DataFrame:
+    """The steps of older plans of the same statements, over other objects."""
+    return plan_line(t).withColumns(
+        {
+            "plan_hash_value": F.expr("plan_hash_value + 20000"),
+            "object_name": F.expr(
+                "case when object_type = 'INDEX (UNIQUE)' and object_name is not null "
+                "then concat('IDX_', cardinality + 1) else object_name end"
+            ),
+        }
+    )
+
+
 @_view
 def plan_monitor(t: Telemetry) -> DataFrame:
-    return plan_line(t).where("cost > 10 or id = 0").selectExpr(
+    # Cheap steps but the first go to lines no plan has, so both sides have rows without a partner.
+    return plan_line(t).selectExpr(
         "sql_id",
         "plan_hash_value as sql_plan_hash_value",
         "16777216 + plan_hash_value % 3 as sql_exec_id",
-        "id as plan_line_id",
+        "cast(case when cost > 10 or id = 0 then id else id + 1000 end as int) as plan_line_id",
         "case when cost % 2 = 0 then 'DONE' else 'EXECUTING' end as status",
         "plan_hash_value as sid",
         "timestamp'2024-01-01 00:00:00' as sql_exec_start",
@@ -313,7 +328,13 @@ def ind_column(t: Telemetry) -> DataFrame:
 
 @_view
 def ind_stat(t: Telemetry) -> DataFrame:
-    return idx(t).select("owner", "index_name", "num_rows")
+    """One row of each index and one of a partition of it."""
+    return idx(t).selectExpr(
+        "owner",
+        "index_name",
+        "explode(array(cast(null as string), 'P1')) as partition_name",
+        "num_rows",
+    )
 
 
 @_view
@@ -524,7 +545,11 @@ def longop(t: Telemetry) -> DataFrame:
         "user_id % 3 as serial_no",
         "concat('s', user_id % 20) as sql_id",
         "event_type as opname",
+        "event_id % 50 as sofar",
+        "50L as totalwork",
+        "event_id % 90 as elapsed_time",
         "event_id % 7 as time_remaining",
+        "concat(event_type, ': ', event_id % 50, ' out of 50') as message",
     )
 
 

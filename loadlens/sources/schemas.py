@@ -4,6 +4,14 @@ from __future__ import annotations
 
 _SNAP = "dbid int, instance_number int, snap_id bigint"
 
+# Steps of plans, those in memory and those kept.
+_PLAN_LINE = (
+    "sql_id string, plan_hash_value bigint, id int, depth int, operation string, "
+    "options string, object_owner string, object_name string, object_type string, "
+    "optimizer string, cost bigint, cardinality bigint, bytes bigint, cpu_cost bigint, "
+    "io_cost bigint, access_predicates string, filter_predicates string, projection string"
+)
+
 SCHEMAS: dict[str, str] = {
     # interval snapshots and what is measured per interval
     "snapshot": f"{_SNAP}, begin_interval_time timestamp, end_interval_time timestamp, "
@@ -30,10 +38,8 @@ SCHEMAS: dict[str, str] = {
     "delta_elapsed_time bigint, delta_cpu_time bigint, delta_user_io_wait_time bigint, "
     "delta_concurrency_time bigint, avg_hard_parse_time bigint, delta_disk_reads bigint, "
     "delta_buffer_gets bigint, delta_rows_processed bigint, delta_px_servers_executions bigint",
-    "plan_line": "sql_id string, plan_hash_value bigint, id int, depth int, operation string, "
-    "options string, object_owner string, object_name string, object_type string, "
-    "optimizer string, cost bigint, cardinality bigint, bytes bigint, cpu_cost bigint, "
-    "io_cost bigint, access_predicates string, filter_predicates string, projection string",
+    "plan_line": _PLAN_LINE,
+    "plan_line_hist": _PLAN_LINE,
     "plan_monitor": "sql_id string, sql_plan_hash_value bigint, sql_exec_id bigint, "
     "plan_line_id int, status string, sid bigint, sql_exec_start timestamp, "
     "first_refresh_time timestamp, last_refresh_time timestamp, starts bigint, "
@@ -51,7 +57,7 @@ SCHEMAS: dict[str, str] = {
     "uniqueness string, partitioned string, num_rows bigint, distinct_keys bigint, "
     "blevel bigint, leaf_blocks bigint, pct_free bigint",
     "ind_column": "index_owner string, index_name string, column_name string",
-    "ind_stat": "owner string, index_name string, num_rows bigint",
+    "ind_stat": "owner string, index_name string, partition_name string, num_rows bigint",
     "col_stat": "owner string, table_name string, column_name string, avg_col_len bigint, "
     "num_nulls bigint",
     "tbl": "owner string, table_name string, last_analyzed timestamp, monitoring string",
@@ -81,7 +87,8 @@ SCHEMAS: dict[str, str] = {
     "user_tbl": "table_name string, temporary string",
     "mview_log": "log_table string",
     "session": "osuser string, action string, sid bigint",
-    "longop": "sid bigint, serial_no bigint, sql_id string, opname string, time_remaining bigint",
+    "longop": "sid bigint, serial_no bigint, sql_id string, opname string, sofar bigint, "
+    "totalwork bigint, elapsed_time bigint, time_remaining bigint, message string",
     "active_now": "session_id bigint, session_serial bigint, sql_id string, "
     "top_level_sql_id string",
 }

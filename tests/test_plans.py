@@ -18,7 +18,7 @@ LARGE = {
 }
 # One row per task is merged into the table's totals.
 ONE_ROW_TOTALS = {"table_profile"}
-NAMES = sorted(set(entry_point.queries()) - {"validate_tables"})
+NAMES = sorted(set(entry_point.report_queries()) - {"validate_tables"})
 
 
 @pytest.fixture(autouse=True)
@@ -53,6 +53,23 @@ def test_samples_are_read_once_and_reduced_before_the_join(spark, name):
     assert "partial_sum(" in plan[join:]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_matches_are_reduced_before_the_grouping_sets(spark, few):
+    if few:
+        for key in LARGE:
+            spark.conf.unset(key)
+    plan = initial_plan(entry_point.queries()["job_sql_attribution"](spark, SF_DIR))
+    assert ("BroadcastHashJoin" in plan) == few
+    below = plan[plan.index("Expand") :]
+    assert "partial_sum(" in below[: below.index("Join")]
+
+
+def test_cursors_meet_their_steps_once(spark):
+    plan = initial_plan(entry_point.queries()["plan_tree_with_actuals"](spark, SF_DIR))
+    # Cursors with plan lines, and both with the actuals; idle steps come from an anti join of keys.
+    assert plan.count("Inner") == 2 and plan.count("LeftAnti") == 1 and "LeftOuter" not in plan
+
+
 def test_one_plan_row_per_statement_reads_the_fact_once(spark):
     plan = initial_plan(entry_point.queries()["multi_plan_queries"](spark, SF_DIR))
     assert len(re.findall(r"FileScan parquet \[event_id", plan)) == 1

@@ -22,6 +22,7 @@ from loadlens.functions import (
     text_cat,
     to_seconds,
 )
+from loadlens.sources import read_telemetry, write_telemetry
 
 HOUR = timedelta(hours=1)
 OPEN = {"btime": None, "etime": None}
@@ -496,11 +497,19 @@ def test_index_size_without_column_statistics_stays(spark):
     ]
 
 
-def test_partition_rows_of_index_statistics_do_not_multiply(spark):
+def test_partition_rows_of_index_statistics_do_not_multiply(spark, tmp_path):
     t = index_tables(spark)
-    whole = t["ind_stat"].withColumn("partition_name", F.lit(None).cast("string"))
+    whole = t["ind_stat"]
     t["ind_stat"] = whole.unionByName(whole.withColumn("partition_name", F.lit("P1")))
-    assert rows(op.index_size_estimate(t), "avg_row_len")[0] == (10,)
+    write_telemetry(t, str(tmp_path))
+    kept = read_telemetry(spark, str(tmp_path), t)
+    assert rows(op.index_size_estimate(kept), "avg_row_len")[0] == (10,)
+
+
+def test_counters_near_the_end_of_bigint(spark):
+    t = usage_tables(spark, inserts=2**62, modified_at=DAY + timedelta(days=100))
+    want = (2 * (2**62 + 25) + 144_000) // (2 * 144_000)
+    assert ("I1", want) in rows(op.index_usage(t), "index_name", "row_modified_per_minute")
 
 
 def usage_tables(spark, modified_at=DAY + timedelta(minutes=10), **more):
@@ -834,7 +843,10 @@ def test_long_operations(spark):
         "active_now": frame(spark, "active_now", active),
     }
     assert op.long_operations(t, opname="Gather").count() == 1
-    assert rows(op.long_operations_running(t, opname="Gather")) == [(1, 1, "s1", "other", 5)]
+    running = op.long_operations_running(t, opname="Gather")
+    assert running.columns == t["longop"].columns
+    shown = ("sid", "serial_no", "sql_id", "opname", "time_remaining")
+    assert rows(running, *shown) == [(1, 1, "s1", "other", 5)]
 
 
 def test_sessions_repeat_the_progress_column_under_another_name(spark):

@@ -31,7 +31,7 @@ def test_one_damaged_dataset_does_not_stop_the_rest(spark, tmp_path):
     got = validate_tables(spark, datasets, owner="O")
     assert rows(got, *COLUMNS) == [
         ("BROKEN", None, None, None, "FAILED"),
-        ("MISSING", None, None, None, "FAILED"),
+        ("MISSING", None, None, None, "ERROR"),
         ("GOOD", 2, 0, 0, "OK"),
         ("KEYS", 3, 1, 1, "FAILED"),
     ]
@@ -41,6 +41,19 @@ def test_one_damaged_dataset_does_not_stop_the_rest(spark, tmp_path):
     assert "successfully" not in messages["BROKEN"] + messages["KEYS"]
 
 
+def test_maps_inside_other_types_are_read(spark, tmp_path):
+    schema = "k int, a array<map<string,int>>, s struct<m:map<string,int>>, m map<string,int>"
+    path = write(spark, [(1, [{"x": 1}], ({"y": 2},), {"z": 3})], schema, str(tmp_path / "maps"))
+    got = validate_tables(spark, [Dataset("O", "MAPS", path, keys=("k",))], owner="O")
+    assert rows(got, *COLUMNS) == [("MAPS", 1, 0, 0, "OK")]
+
+
+def test_wrong_key_name_is_no_damage(spark, tmp_path):
+    path = write(spark, [(1,)], "k int", str(tmp_path / "t"))
+    got = validate_tables(spark, [Dataset("O", "T", path, keys=("no_such",))], owner="O")
+    assert rows(got, *COLUMNS) == [("T", None, None, None, "ERROR")]
+
+
 def test_damage_inside_a_column_is_found(spark, tmp_path):
     data = [(i, f"value {i * 7919 % 1000003}") for i in range(20_000)]
     path = tmp_path / "t"
