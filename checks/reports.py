@@ -553,3 +553,11 @@ REPORTS: dict[str, str] = {
         _validated(i, table, keys) for i, (table, keys) in enumerate(_IDENTIFIED.items(), start=1)
     ),
 }
+
+# Reports with other parameters.
+REPORTS["index_size_estimate_of"] = REPORTS["index_size_estimate"] + " where i.owner = 'OWN'"
+REPORTS["queries_by_literal_text"] = (
+    REPORTS["queries_by_text"]
+    .replace("upper(sql_text) like '%RED_WIDGET%'", "contains(upper(sql_text), 'RED_WIDGET')")
+    .replace("upper(sql_text) like '%BLUE_BOLT%'", "contains(upper(sql_text), 'BLUE_BOLT')")
+)

@@ -154,19 +154,22 @@ VIEWS: dict[str, str] = {
         select owner, table_name, 'C' || k column_name, k * 4 avg_col_len, k * 7 num_nulls
         from tbl, (values (cast(1 as bigint)), (2)) x(k)""",
     "index_segment": f"""
-        select {_INDEX_OWNER} owner, 'IDX_' || p_partkey segment_name,
+        select {_INDEX_OWNER} owner,
+            case when p_size <= 45 then 'IDX_' else 'LOB_' end || p_partkey segment_name,
             cast(p_size as bigint) * 65536 bytes
-        from part where p_size <= 45""",
+        from part""",
     "index_usage": f"""
-        select {_INDEX_OWNER} owner, 'IDX_' || p_partkey "name",
+        select {_INDEX_OWNER} owner,
+            case when p_size > 15 then 'IDX_' else 'GONE_' end || p_partkey "name",
             timestamp '2024-01-20 00:00:00' - to_days(p_size) last_used
-        from part where p_size > 15""",
+        from part""",
     "object_usage": """
-        select 'IDX_' || p_partkey index_name, p_type table_name,
+        select case when p_type <> 'STANDARD' then 'IDX_' else 'GONE_' end || p_partkey index_name,
+            p_type table_name,
             case when p_size % 3 = 0 then 'NO' else 'YES' end monitoring,
             case when p_size % 2 = 0 then 'YES' when p_size % 5 = 0 then 'NO' end used,
             '01/31/2024 23:59:58' start_monitoring
-        from part where p_type <> 'STANDARD'""",
+        from part""",
     "tab_modification": """
         select owner table_owner, table_name,
             case when table_name = 'PROMO' then 'P1' end partition_name,
@@ -176,9 +179,10 @@ VIEWS: dict[str, str] = {
             cast(1000 as bigint) inserts, cast(200 as bigint) updates, cast(30 as bigint) deletes
         from tbl""",
     "constraint_def": f"""
-        select {_INDEX_OWNER} index_owner, 'IDX_' || p_partkey index_name,
+        select {_INDEX_OWNER} index_owner,
+            case when p_brand <> 'Brand#3' then 'IDX_' else 'GONE_' end || p_partkey index_name,
             case when p_size % 2 = 0 then 'P' else 'U' end constraint_type
-        from part where p_brand <> 'Brand#3'""",
+        from part""",
     "data_file": f"""
         select r_name tablespace_name, (s_suppkey + 1) * 1048576 bytes
         from supplier {_REGION.format(key="s_nationkey")}""",
@@ -187,12 +191,14 @@ VIEWS: dict[str, str] = {
             cast(n_nationkey + 1 as bigint) * 1048576 bytes
         from nation""",
     "segment": f"""
-        select r_name tablespace_name, n_name owner, c_name segment_name,
+        select case when r_name = 'EUROPE' then 'GONE' else r_name end tablespace_name,
+            n_name owner, c_name segment_name,
             c_custkey % 97 * 8192 bytes
-        from customer {_REGION.format(key="c_nationkey")} where r_name <> 'EUROPE'""",
+        from customer {_REGION.format(key="c_nationkey")}""",
     "free_space": f"""
-        select r_name tablespace_name, s_suppkey * 24576 bytes
-        from supplier {_REGION.format(key="s_nationkey")} where r_name <> 'ASIA'""",
+        select case when r_name = 'ASIA' then 'GONE' else r_name end tablespace_name,
+            s_suppkey * 24576 bytes
+        from supplier {_REGION.format(key="s_nationkey")}""",
     "buffer_header": """
         select l_linenumber * 3 class_id, l_returnflag status, l_linestatus dirty,
             case when l_quantity > 45 then 'Y' else 'N' end "temp",

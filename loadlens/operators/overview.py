@@ -16,7 +16,10 @@ from loadlens.operators.statements import plan_stats, sql_common_info, sql_stats
 def sql_profile(
     tables: Tables, *, as_of: datetime, sql_ids: Iterable[str] | None = None
 ) -> dict[str, DataFrame]:
-    """The lazy reports on the statements over the 30 days before ``as_of``, by report name."""
+    """The reports on the statements over the 30 days before ``as_of``, by report name.
+
+    Building them runs the small size jobs that the reports with a window need.
+    """
     ids = None if sql_ids is None else list(sql_ids)
     btime, etime = look_back(as_of)
     window = {"btime": btime, "etime": etime, "sql_ids": ids}

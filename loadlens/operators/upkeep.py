@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from loadlens.functions import like, ts_lit
 from loadlens.operators.common import Tables
 
-# Upper-cased names of tables to leave out, as LIKE patterns.
+# Upper-cased names of tables to leave out unless told otherwise, as LIKE patterns.
 SKIPPED_NAMES = (
     "TTX$%",
     "TDS$%",
@@ -36,16 +37,18 @@ def pending_stats(tables: Tables, *, since: datetime) -> DataFrame:
     return tables["tab_statistic"].where(F.col("stattype_locked").isNull() & due)
 
 
-def stats_exclusions(tables: Tables, *, since: datetime) -> DataFrame:
+def stats_exclusions(
+    tables: Tables, *, since: datetime, skipped_names: Iterable[str] = SKIPPED_NAMES
+) -> DataFrame:
     """Unlocked tables to leave out of a gathering run that started at ``since``.
 
     Left out are tables analysed since then, temporary tables, logs of materialised views and tables
-    with one of the skipped names.
+    with one of ``skipped_names`` (LIKE patterns of upper-cased names, escaped by a backslash).
     """
     logs = tables["mview_log"].select(F.col("log_table").alias("table_name")).distinct()
     unlocked = tables["tab_statistic"].where("stattype_locked is null")
     name = F.upper("table_name")
-    skipped = reduce(lambda a, b: a | b, (like(name, p, "\\") for p in SKIPPED_NAMES))
+    skipped = reduce(lambda a, b: a | b, (like(name, p, "\\") for p in skipped_names), F.lit(False))
     return (
         tables["user_tbl"]
         .join(unlocked, "table_name")
@@ -60,10 +63,14 @@ def stats_exclusions(tables: Tables, *, since: datetime) -> DataFrame:
     )
 
 
-def gather_exclusions(tables: Tables, *, since: datetime) -> DataFrame:
+def gather_exclusions(
+    tables: Tables, *, since: datetime, skipped_names: Iterable[str] = SKIPPED_NAMES
+) -> DataFrame:
     """Names a gathering run leaves out: locked tables and ``stats_exclusions``, each once.
 
     This is what ``table_profile`` takes as ``exclude``.
     """
     locked = locked_stats(tables).select("table_name")
-    return locked.unionByName(stats_exclusions(tables, since=since)).distinct()
+    return locked.unionByName(
+        stats_exclusions(tables, since=since, skipped_names=skipped_names)
+    ).distinct()

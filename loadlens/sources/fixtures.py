@@ -360,26 +360,26 @@ def col_stat(t: Telemetry) -> DataFrame:
 
 @_view
 def index_segment(t: Telemetry) -> DataFrame:
-    return t.given("part").where("p_size <= 45").selectExpr(
+    return t.given("part").selectExpr(
         f"{_INDEX_OWNER} as owner",
-        "concat('IDX_', p_partkey) as segment_name",
+        "concat(case when p_size <= 45 then 'IDX_' else 'LOB_' end, p_partkey) as segment_name",
         "p_size * 65536L as bytes",
     )
 
 
 @_view
 def index_usage(t: Telemetry) -> DataFrame:
-    return t.given("part").where("p_size > 15").selectExpr(
+    return t.given("part").selectExpr(
         f"{_INDEX_OWNER} as owner",
-        "concat('IDX_', p_partkey) as name",
+        "concat(case when p_size > 15 then 'IDX_' else 'GONE_' end, p_partkey) as name",
         "timestamp'2024-01-20 00:00:00' - make_dt_interval(p_size) as last_used",
     )
 
 
 @_view
 def object_usage(t: Telemetry) -> DataFrame:
-    return t.given("part").where("p_type <> 'STANDARD'").selectExpr(
-        "concat('IDX_', p_partkey) as index_name",
+    return t.given("part").selectExpr(
+        "concat(case when p_type <> 'STANDARD' then 'IDX_' else 'GONE_' end, p_partkey) as index_name",
         "p_type as table_name",
         "case when p_size % 3 = 0 then 'NO' else 'YES' end as monitoring",
         "case when p_size % 2 = 0 then 'YES' when p_size % 5 = 0 then 'NO' end as used",
@@ -404,9 +404,9 @@ def tab_modification(t: Telemetry) -> DataFrame:
 
 @_view
 def constraint_def(t: Telemetry) -> DataFrame:
-    return t.given("part").where("p_brand <> 'Brand#3'").selectExpr(
+    return t.given("part").selectExpr(
         f"{_INDEX_OWNER} as index_owner",
-        "concat('IDX_', p_partkey) as index_name",
+        "concat(case when p_brand <> 'Brand#3' then 'IDX_' else 'GONE_' end, p_partkey) as index_name",
         "case when p_size % 2 = 0 then 'P' else 'U' end as constraint_type",
     )
 
@@ -434,8 +434,8 @@ def temp_file(t: Telemetry) -> DataFrame:
 
 @_view
 def segment(t: Telemetry) -> DataFrame:
-    return _with_region(t, "customer", "c_nationkey").where("r_name <> 'EUROPE'").selectExpr(
-        "r_name as tablespace_name",
+    return _with_region(t, "customer", "c_nationkey").selectExpr(
+        "case when r_name = 'EUROPE' then 'GONE' else r_name end as tablespace_name",
         "n_name as owner",
         "c_name as segment_name",
         "c_custkey % 97 * 8192 as bytes",
@@ -444,8 +444,8 @@ def segment(t: Telemetry) -> DataFrame:
 
 @_view
 def free_space(t: Telemetry) -> DataFrame:
-    return _with_region(t, "supplier", "s_nationkey").where("r_name <> 'ASIA'").selectExpr(
-        "r_name as tablespace_name", "s_suppkey * 24576 as bytes"
+    return _with_region(t, "supplier", "s_nationkey").selectExpr(
+        "case when r_name = 'ASIA' then 'GONE' else r_name end as tablespace_name", "s_suppkey * 24576 as bytes"
     )
 
 
