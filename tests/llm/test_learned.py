@@ -140,6 +140,44 @@ def test_blocks_of_items_find_the_same(llm, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
 
 
+def common_words(a, b):
+    """Length of the longest common subsequence by the plain table."""
+    best = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, best[j + 1] = best[j + 1], last + 1 if x == y else max(best[j + 1], best[j])
+    return best[-1]
+
+
+def test_retold_items_without_their_rarest_words(llm):
+    """Items whose rarest words were replaced, one of them in many documents, in a corpus where words are too common to weigh."""
+    draw = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(1500)]
+    share = 1 / np.arange(2, 1502)
+    text = lambda n: list(draw.choice(vocabulary, n, p=share / share.sum()))
+    items = [text(20 + 2 * k) for k in range(16)]
+    rows = [text(120) for _ in range(1200)]
+    planted = set()
+    for doc, i in [*((d, d % 16) for d in range(96)), *((d, 3) for d in range(100, 180))]:
+        own = list(items[i])
+        body = sorted(range(len(own) - 5), key=lambda k: -int(own[k][1:]))
+        for k in body[: len(own) - int(np.ceil(0.6 * len(own)))]:
+            own[k] = f"new{doc}x{k}"
+        assert 0.75 > common_words(items[i], own) / len(own) >= 0.55
+        at = int(draw.integers(0, 100))
+        rows[doc] = rows[doc][:at] + own + rows[doc][at:]
+        planted.add((doc, i))
+    docs = llm.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(2)
+    frame = llm.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, frame).collect()}
+    assert planted <= got, len(planted - got)
+    assert all(common_words(items[i], rows[d]) >= 0.55 * len(items[i]) for d, i in got)
+    known = decontamination.items_of(frame)
+    frequency, windows = decontamination._frequencies(decontamination._hits(docs, known.words), len(known.words))
+    assert not decontamination._weights(known, frequency, windows).all()  # the cut applies
+
+
 def test_common_subsequence_as_table():
     draw = np.random.default_rng(3)
     for _ in range(50):
