@@ -178,6 +178,19 @@ def test_retold_items_without_their_rarest_words(llm):
     assert not decontamination._weights(known, frequency, windows).all()  # the cut applies
 
 
+def test_copies_of_long_items(llm, monkeypatch):
+    """Long items whole, word for word, inside longer documents: no window holds much of such an item."""
+    monkeypatch.setattr(decontamination, "BLOCK", 20)
+    sizes = {0: 60, 1: 65, 2: 400, 3: 900, 4: 1200}
+    items = {i: prose(8000 + i, n) for i, n in sizes.items()}
+    rows = [(i, f"{prose(8100 + i, 150)} {text} {prose(8200 + i, 90)}") for i, text in items.items()]
+    rows += [(10 + i, prose(8300 + i, 1500)) for i in range(4)] + [(20, " ".join(items[3].split()[:300]))]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    frame = llm.createDataFrame(list(items.items()), "item_id long, text string")
+    got = decontamination.contaminated(docs, frame).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["common_words"], r["kind"]) for r in got) == [(i, i, n, "copy") for i, n in sizes.items()]
+
+
 def test_common_subsequence_as_table():
     draw = np.random.default_rng(3)
     for _ in range(50):
