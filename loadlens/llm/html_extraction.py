@@ -31,6 +31,8 @@ _UNREAD = frozenset("script style noscript template svg math head title iframe o
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split()
 )
+#: What can stand in a head; anything else ends it, as a missing end tag would.
+_IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 _CLOSES = {
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
 }
@@ -79,7 +81,13 @@ class _Reader(HTMLParser):
             if tag in tags:
                 return
 
+    def _end_head(self, tag: str | None) -> None:
+        """Close a head that has no end tag, at its body or at anything that cannot stand in it."""
+        if self.open["head"] and (tag == "body" or tag not in _IN_HEAD and self.page.tags[self.stack[-1]] == "head"):
+            self._close(("head",))
+
     def handle_starttag(self, tag: str, attributes: list) -> None:
+        self._end_head(tag)
         if tag == "br":
             self.page.texts.append((" ", self.stack[-1], self.block))
         if tag not in _INLINE and tag != "br":
@@ -107,6 +115,8 @@ class _Reader(HTMLParser):
             self._close((tag,))
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head(None)
         if not self.unread:
             self.page.texts.append((data, self.stack[-1], self.block))
 

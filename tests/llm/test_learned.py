@@ -248,6 +248,17 @@ def test_page_text(model, llm):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_pages_without_end_of_head(model):
+    article = "<article><h1>A b</h1><p>One and two. Three more words here.</p></article>"
+    head = '<html><head><title>t</title><script>var a="<p>";</script><noscript><img src=x>hidden</noscript><template><p>no</p></template>'
+    want = "A b One and two. Three more words here."
+    for between in ("</head><body>", "<body>", "", "</head>"):
+        assert html_extraction.main_text(head + between + article, model) == want
+    texts = lambda html: [t for t, _, _ in html_extraction.read(html).texts if t.strip()]
+    assert texts("<head><title>t</title>Bare words") == ["Bare words"]
+    assert texts("<head><title>t</title><style>x</style>\n</head><p>a") == ["a"]
+
+
 def test_secrets(docs, none, llm):
     pairs = secrets.letter_pairs(docs)
     forest = secrets.trained(pairs, labelled_findings())
