@@ -14,7 +14,7 @@ repeated rows and further columns do not matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -222,8 +222,11 @@ def score_of(model: Model, text: Column | str) -> Column:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents the classifier rejects."""
-    return docs.filter(score_of(fit(docs, labels), "text") >= ACCEPTED)
+    """``docs`` without the documents the classifier rejects: texts without subwords only, if no labels trained it."""
+    model = fit(docs, labels)
+    if model.network is None:
+        model = replace(model, share=1.0)
+    return docs.filter(score_of(model, "text") >= ACCEPTED)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

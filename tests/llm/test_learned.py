@@ -61,6 +61,13 @@ def test_odd_cases_and_missing_labels(docs, none, llm, module):
     assert module.scored(none, few).count() == 0
 
 
+def test_without_usable_labels_only_empty_texts_are_rejected(llm):
+    docs = llm.createDataFrame([(0, prose(1, 40)), (1, ""), (2, None), (3, " \n"), (None, "two words")], "doc_id long, text string")
+    for labels in ([], [(0, 0, 0)], [(0, 1, 0)]):
+        got = quality_classifier.accepted(docs, llm.createDataFrame(labels, LABELS)).collect()
+        assert {r["doc_id"] for r in got} == {0, None}
+
+
 def test_context_vectors_do_not_depend_on_partitions(docs):
     one, many = (quality_classifier.context_vectors(docs.repartition(n)) for n in (1, 5))
     assert (one == many).all()
