@@ -182,7 +182,7 @@ def test_retold_items_without_their_rarest_words(llm):
     assert all(common_words(items[i], rows[d]) >= 0.55 * len(items[i]) for d, i in got)
     known = decontamination.items_of(frame)
     frequency, windows = decontamination._frequencies(decontamination._hits(docs, known.words), len(known.words))
-    assert not decontamination._weights(known, frequency, windows).all()  # the cut applies
+    assert not decontamination._weights(decontamination.passages_of(known), frequency, windows).all()  # the cut applies
 
 
 def test_copies_of_long_items(llm, monkeypatch):
