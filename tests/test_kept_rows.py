@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 import sys
 from datetime import datetime
 
-from conftest import ROOT
 from loadlens.functions import look_back
 from loadlens.operators import multi_plan_queries
 from loadlens.operators.common import settled
 from loadlens.sources import Telemetry
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 NAMED_FOLDER = """
 import os, sys
 from pyspark.sql import SparkSession
