@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loadlens.llm import (
     decontamination,
     html_extraction,
+    merkle,
     near_dedup,
     packing,
     pii,
@@ -43,6 +44,7 @@ def queries() -> dict[str, Query]:
         "op8_latent_decontamination": _with("benchmark", decontamination.contaminated),
         "op9_tree_model_main_text": _of("pages", html_extraction.extracted),
         "op10_forest_secret_scan": _of("documents", secrets.found),
+        "op13_merkle_manifest": _of("documents", merkle.proved),
     }
 
 
