@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loadlens.llm import (
+    check_sql,
     decontamination,
     html_extraction,
     merkle,
@@ -77,5 +78,5 @@ _NEAR_DUPLICATES = r"""
 
 
 def oracle_sql() -> dict[str, str]:
-    """Check SQL for the query that SQL expresses plainly; the tests hold the others against plain versions."""
-    return {"op4_setsketch_near_duplicates": _NEAR_DUPLICATES}
+    """Check SQL for the queries that SQL expresses plainly; the tests hold the others against plain versions."""
+    return {"op4_setsketch_near_duplicates": _NEAR_DUPLICATES, "op13_merkle_manifest": check_sql.MERKLE}
