@@ -18,6 +18,8 @@ from loadlens.llm import (
     quality_rules,
     secrets,
     sharding,
+    simhash,
+    spelling,
     toxicity,
 )
 from loadlens.llm.common import shipped, table
@@ -45,6 +47,8 @@ def queries() -> dict[str, Query]:
         "op8_latent_decontamination": _with("benchmark", decontamination.contaminated),
         "op9_tree_model_main_text": _of("pages", html_extraction.extracted),
         "op10_forest_secret_scan": _of("documents", secrets.found),
+        "op11_spelling_variants": _of("documents", spelling.grouped),
+        "op12_gray_order_simhash": _of("documents", simhash.fingerprints),
         "op13_merkle_manifest": _of("documents", merkle.proved),
     }
 
