@@ -70,3 +70,39 @@ MERKLE = f"""
     select p.doc_id, p.leaf, t.h subroot, r.h root, sha256(e.sib) proof_sha256, e.cur folded_root, e.cur = r.h verified
     from placed p join tops t on t.tree = p.tree join all_ends e on e.id = p.id
     cross join (select h from all_nodes where total = 1) r"""
+
+_CODES = """flatten(list_transform(string_split(cast(doc_id as varchar) || ':' || run, ''),
+    lambda c: case when unicode(c) < 128 then [unicode(c)] else [195, unicode(c) - 64] end))"""
+
+#: Near words by their spellings with one code point left out.
+SPELLING = f"""
+    with recursive crc as ({_CRC_TABLE}),
+    runs as (
+        select doc_id, unnest(regexp_extract_all(translate(text, {_CAPITALS}), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) run
+        from documents),
+    hashed as (select run, {_crc32(_CODES)} h from runs, crc where length(run) >= 6),
+    cut as (
+        select case when h % 199 = 0 then left(run, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2)
+            else run end word
+        from hashed),
+    words as (select word, count(*) n from cut where length(word) >= 6 group by word having count(*) >= 5),
+    places as (select word, unnest(range(cast(length(word) as int))) k from words),
+    without as (select word, k, left(word, cast(k as int)) || substr(word, cast(k as int) + 2) rest from places),
+    pairs as (
+        select a.word, b.word other from without a join without b on a.k = b.k and a.rest = b.rest and a.word <> b.word
+        union select w.word, v.word from without w join words v on v.word = w.rest
+        union select v.word, w.word from without w join words v on v.word = w.rest),
+    ranked as (
+        select p.word, p.other, o.n other_n, count(*) over (partition by p.word) n_near,
+            row_number() over (partition by p.word order by o.n desc, encode(p.other)) k
+        from pairs p join words o on o.word = p.other),
+    formed as (
+        select w.word, w.n, coalesce(r.n_near, 0) n_near,
+            case when r.other_n >= 5 * w.n then r.other end form, case when r.other_n >= 5 * w.n then r.other_n end form_n
+        from words w left join ranked r on r.word = w.word and r.k = 1),
+    ways as (
+        select word, word root, 0 steps from formed
+        union all
+        select y.word, f.form, y.steps + 1 from ways y join formed f on f.word = y.root where f.form is not null)
+    select f.word, f.form, y.root, f.n, f.n_near, f.form_n
+    from formed f join (select word, arg_max(root, steps) root from ways group by word) y on y.word = f.word"""

@@ -83,4 +83,4 @@ _NEAR_DUPLICATES = r"""
 
 def oracle_sql() -> dict[str, str]:
     """Check SQL for the queries that SQL expresses plainly; the tests hold the others against plain versions."""
-    return {"op4_setsketch_near_duplicates": _NEAR_DUPLICATES, "op13_merkle_manifest": check_sql.MERKLE}
+    return {"op4_setsketch_near_duplicates": _NEAR_DUPLICATES, "op11_spelling_variants": check_sql.SPELLING, "op13_merkle_manifest": check_sql.MERKLE}
