@@ -279,8 +279,8 @@ def membership(docs: DataFrame) -> DataFrame:
     least = comps.groupBy("comp").agg(F.min("label").alias("component_id"))
     found = looked_up(comps, "comp", least, F.col("print")).select("print", "component_id")
     named = classes.join(found, "print", "left").select("print", F.coalesce("component_id", "label").alias("component_id"))
-    # Plain exchanges on both sides, so that Spark splits the rows of a hot fingerprint.
-    return own.join(named, "print")
+    # Stored first: with plain exchanges on both sides Spark splits the rows of a hot fingerprint.
+    return own.join(stored(named, "named"), "print")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
