@@ -1,5 +1,7 @@
 """The reports as DuckDB SQL over the views, written without the shapes the Spark side uses."""
 
+import re
+
 MICRO = 1_000_000
 MIB = 1024 * 1024
 
@@ -62,19 +64,20 @@ _FLAGS = {
 }
 
 _JOBS = """
-    select regexp_extract(job_name, '^TASK\\$_\\d+') job_prefix, session_id,
+    select j.dbid, regexp_extract(job_name, '^TASK\\$_\\d+') job_prefix, session_id,
         try_cast(split_part(session_id, ',', 1) as bigint) sid,
         try_cast(split_part(session_id, ',', 2) as bigint) serial,
         req_start_date, req_end_date,
-        (select min(snap_id) from snapshot
-            where req_start_date between begin_interval_time and end_interval_time) start_snap,
-        (select min(snap_id) from snapshot
-            where req_end_date between begin_interval_time and end_interval_time) stop_snap
-    from job_run
+        (select min(snap_id) from snapshot s where s.dbid = j.dbid
+            and req_start_date between begin_interval_time and end_interval_time) start_snap,
+        (select min(snap_id) from snapshot s where s.dbid = j.dbid
+            and req_end_date between begin_interval_time and end_interval_time) stop_snap
+    from job_run j
     where regexp_matches(job_name, '^TASK\\$_\\d+_\\d+$')"""
 
 _SAMPLED = """
-    jobs left join ash on ash.snap_id between jobs.start_snap and jobs.stop_snap
+    jobs left join ash on ash.dbid = jobs.dbid
+        and ash.snap_id between jobs.start_snap and jobs.stop_snap
         and ash.session_id = jobs.sid and ash.session_serial = jobs.serial"""
 
 _ATTRIBUTED = f"""
@@ -87,10 +90,55 @@ _ATTRIBUTED = f"""
     {rounded("sum(tm_delta_cpu_time)", "1", MICRO)} cpu_time"""
 
 
+#: Jobs that began within the time their database keeps, and a day before it.
+_KEPT = """req_start_date >= timestamp '2024-01-31 00:00:00' - interval 1 day -
+                (select min(c.retention) from wr_control c where c.dbid = j.dbid)"""
+
+#: The same over the tables with a second database.
+_TWO = {"job_run": "job_run_two", "ash": "ash_two", "snapshot": "snapshot_two"}
+
+
+def _of_two(sql: str) -> str:
+    return re.sub(r"\b(job_run|ash|snapshot)\b(?!\.)", lambda m: _TWO[m[0]] + (" ash" if m[0] == "ash" else ""), sql)
+
+
 def _seconds(start: str, stop: str) -> str:
     return f"(epoch_us({stop}) - epoch_us({start})) / 1e6"
 
 
+_GROUPS = f"""
+    with runs as (
+        select *, regexp_extract(job_name, '^TASK\\$_\\d+') job_prefix,
+            {_seconds("req_start_date", "req_end_date")} duration
+        from job_run j where regexp_matches(job_name, '^TASK\\$_\\d+_\\d+$') and {_KEPT}),
+    groups as (
+        select dbid, job_prefix, count(distinct job_name) job_count,
+            date_trunc('second', min(req_start_date)) job_start_date,
+            min(duration) min_duration, max(duration) max_duration,
+            min(cpu_millis) * 1000 / 1e6 min_cpu_used, max(cpu_millis) * 1000 / 1e6 max_cpu_used
+        from runs group by dbid, job_prefix)
+    select g.*, t.task_name, t.sql_stmt
+    from groups g left join parallel_task t on t.job_prefix = g.job_prefix"""
+
+_ATTRIBUTION = f"""
+    with jobs as ({_JOBS} and job_name like 'TASK$_%')
+    select jobs.dbid, jobs.job_prefix, ash.sql_id, {_ATTRIBUTED}
+    from {_SAMPLED}
+    group by grouping sets ((jobs.dbid, jobs.job_prefix, ash.sql_id), ())"""
+
+_ALL_JOBS = f"""
+    with listed as ({_JOBS} and {_KEPT}),
+    sizes as (
+        select dbid, job_prefix, count(distinct session_id) job_count from listed group by all),
+    jobs as (select * from listed join sizes using (dbid, job_prefix))
+    select jobs.dbid, jobs.job_prefix, jobs.job_count, min(req_start_date) min_start_date,
+        max({_seconds("req_start_date", "req_end_date")}) max_duration,
+        ash.sql_id, {_ATTRIBUTED}
+    from {_SAMPLED}
+    group by jobs.dbid, jobs.job_prefix, jobs.job_count, ash.sql_id
+    having sum(tm_delta_db_time) is not null"""
+
+
 def _cat(*parts: str) -> str:
     return " || ".join(p if p.startswith("'") else f"coalesce(cast({p} as varchar), '')" for p in parts)
 
@@ -267,6 +315,7 @@ REPORTS: dict[str, str] = {
             t.sql_text
         from sqltext t join command_name c on c.command_type = t.command_type""",
     "sql_text": "select sql_id, sql_text from sqltext",
+    "sql_text_all_columns": "select * from sqltext",
     "sql_stats_daily": f"""
         select s.sql_id sqlid, s.plan_hash_value phv,
             date_trunc('day', n.begin_interval_time) tl, {_costs("s.", MICRO)}
@@ -355,37 +404,12 @@ REPORTS: dict[str, str] = {
                     and n.instance_number = s.instance_number and n.snap_id = s.snap_id)
         select sqlid, tl, {_costs("", 1000)}, module, sql_text
         from stat where drnk = 1 group by sqlid, module, sql_text, tl""",
-    "job_group_summary": f"""
-        with runs as (
-            select *, regexp_extract(job_name, '^TASK\\$_\\d+') job_prefix,
-                {_seconds("req_start_date", "req_end_date")} duration
-            from job_run where regexp_matches(job_name, '^TASK\\$_\\d+_\\d+$')
-                and req_start_date >= timestamp '2024-01-31 00:00:00' - interval 31 day),
-        groups as (
-            select job_prefix, count(distinct job_name) job_count,
-                date_trunc('second', min(req_start_date)) job_start_date,
-                min(duration) min_duration, max(duration) max_duration,
-                min(cpu_millis) * 1000 / 1e6 min_cpu_used, max(cpu_millis) * 1000 / 1e6 max_cpu_used
-            from runs group by job_prefix)
-        select g.*, t.task_name, t.sql_stmt
-        from groups g left join parallel_task t on t.job_prefix = g.job_prefix""",
-    "job_sql_attribution": f"""
-        with jobs as ({_JOBS} and job_name like 'TASK$_%')
-        select jobs.job_prefix, ash.sql_id, {_ATTRIBUTED}
-        from {_SAMPLED}
-        group by grouping sets ((jobs.job_prefix, ash.sql_id), ())""",
-    "job_sql_attribution_all": f"""
-        with listed as ({_JOBS}
-            and req_start_date >= timestamp '2024-01-31 00:00:00' - interval 31 day),
-        sizes as (
-            select job_prefix, count(distinct session_id) job_count from listed group by 1),
-        jobs as (select * from listed join sizes using (job_prefix))
-        select jobs.job_prefix, jobs.job_count, min(req_start_date) min_start_date,
-            max({_seconds("req_start_date", "req_end_date")}) max_duration,
-            ash.sql_id, {_ATTRIBUTED}
-        from {_SAMPLED}
-        group by jobs.job_prefix, jobs.job_count, ash.sql_id
-        having sum(tm_delta_db_time) is not null""",
+    "job_group_summary": _GROUPS,
+    "job_group_summary_databases": _of_two(_GROUPS),
+    "job_sql_attribution": _ATTRIBUTION,
+    "job_sql_attribution_databases": _of_two(_ATTRIBUTION),
+    "job_sql_attribution_all": _ALL_JOBS,
+    "job_sql_attribution_all_databases": _of_two(_ALL_JOBS),
     "index_size_estimate": f"""
         select i.owner index_owner, i.index_name, i.partitioned, i.num_rows, i.distinct_keys,
             a.avg_row_len, i.blevel, i.leaf_blocks,
@@ -413,9 +437,16 @@ REPORTS: dict[str, str] = {
             where p.object_owner = i.owner and p.object_name = i.index_name)""",
         unused="",
     ),
+    "index_usage_unused_uncollected": _INDEX_USAGE.format(
+        kept="",
+        unused="""where (o.used is null and o.monitoring = 'YES')
+            or u.last_used <= timestamp '2024-01-31 00:00:00' - interval 30 day""",
+    ),
     "index_usage_unused": _INDEX_USAGE.format(
         kept="",
-        unused="""where (o.used is null and o.monitoring = 'YES') or u.last_used is null
+        unused="""where (o.used is null and o.monitoring = 'YES')
+            or (u.last_used is null
+                and exists (select 1 from index_usage_info where index_stats_enabled = 1))
             or u.last_used <= timestamp '2024-01-31 00:00:00' - interval 30 day""",
     ),
     "plan_monitor_report": f"""

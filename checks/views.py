@@ -60,11 +60,29 @@ VIEWS: dict[str, str] = {
         select distinct p_size % 5 command_type, 'CMD_' || (p_size % 5) command_name
         from part where p_size % 5 <> 4""",
     "job_run": """
-        select case when user_id % 7 = 0 then 'JOB_' || user_id
+        select 1 dbid, case when user_id % 7 = 0 then 'JOB_' || user_id
                 else 'TASK$_' || (user_id % 30) || '_' || user_id end job_name,
             user_id || ',' || (user_id % 3) session_id,
             min(ts) req_start_date, max(ts) req_end_date, count(*) cpu_millis
         from events group by user_id, date_trunc('day', ts)""",
+    "wr_control": """
+        select r_regionkey + 1 dbid, to_days(30 - 10 * least(r_regionkey, 2)) retention
+        from region""",
+    "snapshot_two": """
+        select * from snapshot
+        union all
+        select * replace (2 as dbid, begin_interval_time + interval 30 minute as begin_interval_time,
+            end_interval_time + interval 30 minute as end_interval_time)
+        from snapshot""",
+    "ash_two": """
+        select * from ash
+        union all
+        select * replace (2 as dbid, tm_delta_db_time * 2 as tm_delta_db_time)
+        from ash where in_parse = 'N'""",
+    "job_run_two": """
+        select * from job_run
+        union all
+        select * replace (2 as dbid) from job_run where session_id like '%,1'""",
     "parallel_task": """
         select 'TASK$_' || n_nationkey job_prefix, n_name task_name, 'update ' || n_name sql_stmt
         from nation""",
@@ -163,6 +181,7 @@ VIEWS: dict[str, str] = {
             case when p_size > 15 then 'IDX_' else 'GONE_' end || p_partkey "name",
             timestamp '2024-01-20 00:00:00' - to_days(p_size) last_used
         from part""",
+    "index_usage_info": "select r_regionkey % 2 index_stats_enabled from region",
     "object_usage": """
         select case when p_type <> 'STANDARD' then 'IDX_' else 'GONE_' end || p_partkey index_name,
             p_type table_name,

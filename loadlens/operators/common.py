@@ -9,29 +9,37 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType, VariantType
 
 from loadlens.functions import ts_lit
 from loadlens.sources.store import SNAP_KEYS, prune_days
 
 Tables = Mapping[str, DataFrame]
 
-_TEXT = StringType()
-
 # Session setting: the most bytes a side may have to be broadcast, and its default.
 SMALL_BYTES = "spark.loadlens.broadcastBytes"
 SMALL_BYTES_DEFAULT = 128 * 1024 * 1024
 
 
+# Columns of other types have no length that can be added up, so a side with one is never proven small.
+_SIZED = (StringType, BinaryType)
+_UNSIZED = (ArrayType, MapType, StructType, VariantType)
+
+
 def _bytes(df: DataFrame) -> Column:
-    """Bytes the rows take in Spark's row format: a word per column, the text, and the row's frame."""
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType == _TEXT]
+    """Bytes the rows take in Spark's row format: a word per column, the text, and the row's frame.
+
+    NULL if a column's values have no known length.
+    """
+    if any(isinstance(f.dataType, _UNSIZED) for f in df.schema):
+        return F.lit(None).cast("bigint").alias("bytes")
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, _SIZED)]
     fixed = F.lit(16 + 8 * len(df.columns)).cast("bigint")
     return F.coalesce(F.sum(reduce(Column.__add__, texts, fixed)), F.lit(0)).alias("bytes")
 
 
-def _fits(spark: SparkSession, size: int) -> bool:
-    return size <= int(spark.conf.get(SMALL_BYTES, str(SMALL_BYTES_DEFAULT)))
+def _fits(spark: SparkSession, size: int | None) -> bool:
+    return size is not None and size <= int(spark.conf.get(SMALL_BYTES, str(SMALL_BYTES_DEFAULT)))
 
 
 def is_small(df: DataFrame) -> bool:
@@ -97,11 +105,16 @@ class SnapWindow:
         return self.keep(fact).join(self.rows, SNAP_KEYS)
 
 
-def measured(rows: DataFrame, first: date | None = None, last: date | None = None) -> SnapWindow:
+def measured(
+    rows: DataFrame,
+    first: date | None = None,
+    last: date | None = None,
+    *,
+    low: str = "snap_id",
+    high: str = "snap_id",
+) -> SnapWindow:
     """The rows with their size and range of snapshot ids, found by one aggregation of them."""
-    size = rows.agg(
-        _bytes(rows), F.min("snap_id").alias("low"), F.max("snap_id").alias("high")
-    ).first()
+    size = rows.agg(_bytes(rows), F.min(low).alias("low"), F.max(high).alias("high")).first()
     few = _fits(rows.sparkSession, size["bytes"])
     hinted = F.broadcast(rows) if few else rows
     return SnapWindow(hinted, few, size["low"], size["high"], first, last)

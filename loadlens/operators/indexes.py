@@ -97,7 +97,8 @@ def index_usage(
 
     ``not_in_plans`` keeps the indexes no stored plan step names. ``unused_for`` keeps those not
     used since ``as_of`` minus that time: watched and never used, without any known use, or last
-    used before it.
+    used before it. That no use is known counts only if the use of indexes is collected at all, which
+    is looked up inside the plan.
     """
     if unused_for is not None and as_of is None:
         raise ValueError("unused_for needs as_of")
@@ -158,9 +159,10 @@ def index_usage(
         .join(constraints, key, "left")
     )
     if unused_for is not None:
+        collected = tables["index_usage_info"].where("index_stats_enabled = 1").exists()
         rows = rows.where(
             (F.col("index_used").isNull() & (F.col("idx_monitoring") == "YES"))
-            | F.col("last_index_used").isNull()
+            | (F.col("last_index_used").isNull() & collected)
             | (F.col("last_index_used") <= ts_lit(as_of - unused_for))
         )
     micros = F.unix_micros("last_data_modification") - F.unix_micros("last_analyzed")

@@ -34,19 +34,43 @@ def _job_runs(
     job_like: str | None = None,
 ) -> DataFrame:
     runs = tables["job_run"].where(F.col("job_name").rlike(JOB_NAME))
-    if as_of is not None and retention is not None:
+    if retention is not None:
         oldest = as_of - retention - timedelta(days=1)
         runs = runs.where(F.col("req_start_date") >= ts_lit(oldest))
+    elif as_of is not None:
+        runs = _kept_runs(runs, tables["wr_control"], as_of)
     if job_like is not None:
         runs = runs.where(like(F.col("job_name"), job_like))
     return runs.withColumn("job_prefix", F.regexp_substr("job_name", F.lit(JOB_PREFIX)))
 
 
-def job_group_summary(tables: Tables, *, as_of: datetime, retention: timedelta) -> DataFrame:
-    """Job groups kept in the log: jobs, first start, spread of duration and cpu, and their task."""
+def _kept_runs(runs: DataFrame, control: DataFrame, as_of: datetime) -> DataFrame:
+    """Runs that began within the time their database keeps its history, and a day before it.
+
+    The earliest bound of all databases is a scalar subquery, which the scan of the log gets as a
+    filter at run time. A database without a control row keeps nothing.
+    """
+    oldest = (ts_lit(as_of) - F.col("retention") - F.expr("interval '1' day")).alias("oldest")
+    earliest = control.agg(F.min(oldest)).scalar()
+    runs = runs.where(F.col("req_start_date") >= earliest)
+    if "dbid" not in runs.columns:
+        return runs
+    bounds = broadcast_if_small(control.groupBy("dbid").agg(F.min(oldest).alias("oldest")))
+    return runs.join(bounds, "dbid").where("req_start_date >= oldest").select(*runs.columns)
+
+
+def job_group_summary(
+    tables: Tables, *, as_of: datetime, retention: timedelta | None = None
+) -> DataFrame:
+    """Job groups kept in the log: jobs, first start, spread of duration and cpu, and their task.
+
+    Without ``retention`` each database's own from ``wr_control`` counts. A log of several databases
+    has a row a database and group.
+    """
+    runs = _job_runs(tables, as_of, retention)
+    by = shared(["dbid"], runs)
     groups = (
-        _job_runs(tables, as_of, retention)
-        .groupBy("job_prefix")
+        runs.groupBy(*by, "job_prefix")
         .agg(
             F.countDistinct("job_name").alias("job_count"),
             whole_second(F.min("req_start_date")).alias("job_start_date"),
@@ -57,8 +81,10 @@ def job_group_summary(tables: Tables, *, as_of: datetime, retention: timedelta)
         )
     )
     tasks = tables["parallel_task"].select("job_prefix", "task_name", "sql_stmt")
-    return groups.join(tasks, "job_prefix", "left").orderBy(
-        F.col("max_duration").desc_nulls_first(), "job_prefix"
+    return (
+        groups.join(tasks, "job_prefix", "left")
+        .select(*groups.columns, "task_name", "sql_stmt")
+        .orderBy(F.col("max_duration").desc_nulls_first(), "job_prefix", *by)
     )
 
 
@@ -122,16 +148,39 @@ def _jobs(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def aligned_blocks(start: str, stop: str) -> Column:
+    """The whole numbers from ``start`` to ``stop`` as aligned blocks: an array of ``level`` and ``block``.
+
+    A block of level k holds the 2**k numbers whose quotient by 2**k it is. At most two blocks a
+    level are needed, so a span of n numbers gives at most 2 * log2(n) + 2; an empty span gives none.
+    """
+    length = F.greatest(F.col(stop) - F.col(start) + 1, F.lit(1))
+    levels = F.sequence(F.lit(0), F.floor(F.log2(length)).cast("int") + 1)
+
+    def at(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        # The blocks of this level that lie inside, first and last.
+        first = F.call_function("shiftright", F.col(start) + size - 1, level)
+        last = F.call_function("shiftright", F.col(stop) + 1, level) - 1
+        # An end block stays if its pair, the block of the next level, reaches outside.
+        ends = F.array(F.when(F.abs(first % 2) == 1, first), F.when(F.abs(last % 2) == 0, last))
+        inside = F.filter(ends, lambda b: b.isNotNull() & (first <= last))
+        return F.transform(inside, lambda b: F.struct(level.alias("level"), b.alias("block")))
+
+    return F.flatten(F.transform(levels, at))
+
+
 def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
     """Samples of the sessions of each job between its first and last snapshot.
 
     One row per job group and statement (``level`` "group") and one over everything ("all"), with
     left-join meaning: a job without any sample counts once, under no statement.
 
-    Jobs are listed under every snapshot they span, so samples meet them by equality on session
-    and snapshot, and only the days and snapshots listed are read. While the listings are proven few
-    they are broadcast and the samples are filtered in place; beyond that the samples are reduced
-    per session, snapshot and execution before they are shuffled. Either way the matches are reduced
+    The snapshots a job spans are cut into aligned blocks, a few for any span, and a sample lies in
+    one block of each level that occurs. So samples meet jobs by equality on session and block, and
+    only the days and snapshots spanned are read. While the blocks are proven few they are broadcast
+    and the samples are filtered in place; beyond that the samples are reduced per session, snapshot
+    and execution before they are shuffled. Either way the matches are reduced
     per job, statement and execution before the levels are formed. The samples are read once: the
     same pass also counts samples per job, which tells the jobs that had none.
     """
@@ -140,14 +189,15 @@ def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
     session = [*by, "session_id", "session_serial", "snap_id"]
     spans = (
         jobs.where("start_snap <= stop_snap")
-        .withColumn("snap_id", F.explode(F.sequence("start_snap", "stop_snap")))
+        .select("*", F.inline(aligned_blocks("start_snap", "stop_snap")))
         .withColumns({"session_id": F.col("sid"), "session_serial": F.col("serial")})
     )
+    levels = [row["level"] for row in spans.select("level").distinct().collect()]  # 64 at most
     run = F.when(
         F.col("sql_exec_id").isNotNull() | F.col("sql_exec_start").isNotNull(),
         F.struct("sql_exec_id", whole_second(F.col("sql_exec_start"))),
     )
-    window = measured(spans)
+    window = measured(spans, low="start_snap", high="stop_snap")
     ash = tables["ash"]
     if "snap_day" in ash.columns:
         window = with_days(window, tables["snapshot"])
@@ -163,10 +213,17 @@ def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
         samples = samples.groupBy(*session, "sql_id", "run").agg(
             *[F.sum(c).alias(c) for c in ("sampled", "db", "cpu")]
         )
+    blocks = [
+        F.struct(F.lit(k).alias("level"), F.shiftright("snap_id", k).alias("block")) for k in sorted(levels)
+    ]
+    samples = samples.select("*", F.inline(F.array(*blocks))) if blocks else samples.select(
+        "*", F.lit(0).alias("level"), F.col("snap_id").alias("block")
+    )
     n = F.col("n")
     # One row per job, statement and execution, before the grouping sets triple the rows.
     met = (
-        samples.join(window.rows, session)
+        samples.drop("snap_id")
+        .join(window.rows, [*by, "session_id", "session_serial", "level", "block"])
         .groupBy(*job, "sql_id", "run")
         .agg(
             F.sum(F.col("sampled") * n).alias("rowcount"),
@@ -177,7 +234,7 @@ def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
         )
     )
     hits = (
-        met.groupingSets([["job_prefix", "sql_id"], job, []], *job, "sql_id")
+        met.groupingSets([[*by, "job_prefix", "sql_id"], job, []], *job, "sql_id")
         .agg(
             F.when(F.grouping("sid") == 0, _JOB)
             .when(F.grouping("job_prefix") == 0, _GROUP)
@@ -190,7 +247,7 @@ def _attribution(tables: Tables, runs: DataFrame, by: list[str]) -> DataFrame:
             *_bounds("start_snap", "stop_snap", "min_start", "max_duration"),
         )
     )
-    return _add_idle_jobs(hits, jobs, job)
+    return _add_idle_jobs(hits, jobs, job, by)
 
 
 def _bounds(start_snap: str, stop_snap: str, min_start: str, max_duration: str) -> list[Column]:
@@ -202,7 +259,7 @@ def _bounds(start_snap: str, stop_snap: str, min_start: str, max_duration: str)
     ]
 
 
-def _add_idle_jobs(hits: DataFrame, jobs: DataFrame, job: list[str]) -> DataFrame:
+def _add_idle_jobs(hits: DataFrame, jobs: DataFrame, job: list[str], by: list[str]) -> DataFrame:
     """Add the jobs that met no sample to "no statement" of their group and to the overall row.
 
     The per-job rows of ``hits`` and the jobs themselves are brought together by grouping, not by
@@ -243,8 +300,8 @@ def _add_idle_jobs(hits: DataFrame, jobs: DataFrame, job: list[str]) -> DataFram
         per_level.where(~is_job | idle)
         .withColumn("rowcount", F.when(is_job, F.col("n")).otherwise(F.col("rowcount")))
         .withColumn("level", F.explode(targets))
-        .withColumn("job_prefix", F.when(F.col("level") == _GROUP, F.col("job_prefix")))
-        .groupBy("level", "job_prefix", "sql_id")
+        .withColumns({c: F.when(F.col("level") == _GROUP, F.col(c)) for c in [*by, "job_prefix"]})
+        .groupBy("level", *by, "job_prefix", "sql_id")
         .agg(*merged)
     )
 
@@ -260,31 +317,38 @@ def _figures() -> list[Column]:
 
 
 def job_sql_attribution(tables: Tables, *, job_like: str) -> DataFrame:
-    """Statements run by the jobs whose name is like the pattern, and a row over all of them."""
+    """Statements run by the jobs whose name is like the pattern, and a row over all of them.
+
+    A log of several databases has a row a database, group and statement.
+    """
     by = shared(["dbid"], tables["job_run"], tables["ash"], tables["snapshot"])
     rows = _attribution(tables, _job_runs(tables, job_like=job_like), by)
-    return rows.select("job_prefix", "sql_id", *_figures()).orderBy(
-        F.col("job_prefix").asc_nulls_last(), F.col("rowcount").desc_nulls_first(), "sql_id"
+    return rows.select(*by, "job_prefix", "sql_id", *_figures()).orderBy(
+        F.col("job_prefix").asc_nulls_last(), F.col("rowcount").desc_nulls_first(), "sql_id", *by
     )
 
 
 def job_sql_attribution_all(
-    tables: Tables, *, as_of: datetime, retention: timedelta
+    tables: Tables, *, as_of: datetime, retention: timedelta | None = None
 ) -> DataFrame:
-    """Statements run by every job group kept in the log, for groups with sampled database time."""
+    """Statements run by every job group kept in the log, for groups with sampled database time.
+
+    Without ``retention`` each database's own from ``wr_control`` counts.
+    """
     by = shared(["dbid"], tables["job_run"], tables["ash"], tables["snapshot"])
     runs = _job_runs(tables, as_of, retention)
-    sessions = runs.groupBy("job_prefix").agg(F.countDistinct("session_id").alias("job_count"))
+    sessions = runs.groupBy(*by, "job_prefix").agg(F.countDistinct("session_id").alias("job_count"))
     rows = (
         _attribution(tables, runs, by)
         .where((F.col("level") == _GROUP) & F.col("db").isNotNull())
-        .join(sessions, "job_prefix")
+        .join(sessions, [*by, "job_prefix"])
     )
     return rows.select(
+        *by,
         "job_prefix",
         "job_count",
         F.col("first_start").alias("min_start_date"),
         F.col("longest").alias("max_duration"),
         "sql_id",
         *_figures(),
-    ).orderBy(F.col("db_time").desc_nulls_first(), "job_prefix", "sql_id")
+    ).orderBy(F.col("db_time").desc_nulls_first(), "job_prefix", "sql_id", *by)

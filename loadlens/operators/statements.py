@@ -75,8 +75,12 @@ def sql_common_info(tables: Tables, *, sql_ids: Iterable[str] | None = None) ->
     )
 
 
-def sql_text(tables: Tables, *, sql_ids: Iterable[str] | None = None) -> DataFrame:
-    return only(tables["sqltext"], "sql_id", sql_ids).select("sql_id", "sql_text")
+def sql_text(
+    tables: Tables, *, sql_ids: Iterable[str] | None = None, all_columns: bool = False
+) -> DataFrame:
+    """Id and text of each statement, or every column its table has."""
+    found = only(tables["sqltext"], "sql_id", sql_ids)
+    return found if all_columns else found.select("sql_id", "sql_text")
 
 
 def sql_stats_daily(

@@ -7,6 +7,7 @@ must handle (see FIXTURES.md): missing matches, NULL flags and ids, several plan
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -168,6 +169,7 @@ def job_run(t: Telemetry) -> DataFrame:
         .agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
     )
     return runs.selectExpr(
+        "cast(1 + user_id % 1 as int) as dbid",  # no literal: a join on it stays an equi join
         "case when user_id % 7 = 0 then concat('JOB_', user_id) "
         "else concat('TASK$_', user_id % 30, '_', user_id) end as job_name",
         "concat(user_id, ',', user_id % 3) as session_id",
@@ -177,6 +179,16 @@ def job_run(t: Telemetry) -> DataFrame:
     )
 
 
+@_view
+def wr_control(t: Telemetry) -> DataFrame:
+    """One row a database; the first keeps its history for 30 days, the others for less."""
+    return t.given("region").selectExpr(
+        "r_regionkey + 1 as dbid",
+        "make_dt_interval(0, 1) as snap_interval",
+        "make_dt_interval(30 - 10 * least(r_regionkey, 2)) as retention",
+    )
+
+
 @_view
 def parallel_task(t: Telemetry) -> DataFrame:
     return t.given("nation").selectExpr(
@@ -376,6 +388,14 @@ def index_usage(t: Telemetry) -> DataFrame:
     )
 
 
+@_view
+def index_usage_info(t: Telemetry) -> DataFrame:
+    """One row an instance; the use of indexes is collected by some."""
+    return t.given("region").selectExpr(
+        "r_regionkey % 2 as index_stats_enabled", "r_regionkey * 10L as active_elem_count"
+    )
+
+
 @_view
 def object_usage(t: Telemetry) -> DataFrame:
     return t.given("part").selectExpr(
@@ -561,3 +581,22 @@ def active_now(t: Telemetry) -> DataFrame:
         "concat('s', user_id % 20) as sql_id",
         "concat('s', event_id % 40) as top_level_sql_id",
     )
+
+
+def two_databases(t: Telemetry) -> Mapping[str, DataFrame]:
+    """The tables with a second database beside the first, of the same session and snapshot ids.
+
+    Its snapshots begin half an hour later, it sampled every other sample and ran half of the jobs.
+    """
+    second = F.lit(2).alias("dbid")
+
+    def moved(df: DataFrame, **changed: str) -> DataFrame:
+        return df.select(second, *[F.expr(changed.get(c, c)).alias(c) for c in df.columns if c != "dbid"])
+
+    late = {f"{c}_interval_time": f"{c}_interval_time + interval '30' minute" for c in ("begin", "end")}
+    added = {
+        "snapshot": moved(t["snapshot"], **late),
+        "ash": moved(t["ash"].where("in_parse = 'N'"), tm_delta_db_time="tm_delta_db_time * 2"),
+        "job_run": moved(t["job_run"].where("session_id like '%,1'")),
+    }
+    return ChainMap({name: t[name].unionByName(df) for name, df in added.items()}, t)

@@ -49,8 +49,9 @@ SCHEMAS: dict[str, str] = {
     "plan_object_owner string, plan_object_name string, plan_object_type string, "
     "plan_cost bigint, plan_cardinality bigint, plan_bytes bigint",
     # job log
-    "job_run": "job_name string, session_id string, req_start_date timestamp, "
+    "job_run": "dbid int, job_name string, session_id string, req_start_date timestamp, "
     "run_duration interval day to second, cpu_used interval day to second",
+    "wr_control": "dbid int, snap_interval interval day to second, retention interval day to second",
     "parallel_task": "job_prefix string, task_name string, sql_stmt string",
     # catalog: indexes, tables, space
     "idx": "owner string, index_name string, table_owner string, table_name string, "
@@ -63,6 +64,7 @@ SCHEMAS: dict[str, str] = {
     "tbl": "owner string, table_name string, last_analyzed timestamp, monitoring string",
     "index_segment": "owner string, segment_name string, bytes bigint",
     "index_usage": "owner string, name string, last_used timestamp",
+    "index_usage_info": "index_stats_enabled int, active_elem_count bigint",
     "object_usage": "index_name string, table_name string, monitoring string, used string, "
     "start_monitoring string",
     "tab_modification": "table_owner string, table_name string, partition_name string, "
@@ -95,3 +97,9 @@ SCHEMAS: dict[str, str] = {
 
 # The tables that grow with time; they are stored by the day of their snapshot.
 FACTS = ("sqlstat", "ash", "sysstat")
+
+# Logs kept for several databases, a folder each; the folder's name is a column of the key.
+BY_DATABASE = ("job_run",)
+
+# Tables whose reports return every column there is: the declared ones and those found in the files.
+OPEN = ("sqltext", "extent", "session", "tab_statistic", "longop")

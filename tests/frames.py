@@ -10,9 +10,9 @@ DAY = datetime(2024, 1, 10)
 
 
 def frame(spark, name, rows=()):
-    """A telemetry table from dicts; columns left out are NULL."""
+    """A telemetry table from dicts; columns left out are NULL, the database is 1."""
     empty = spark.createDataFrame([], SCHEMAS[name])
-    data = [tuple(row.get(c) for c in empty.columns) for row in rows]
+    data = [tuple(row.get(c, 1 if c == "dbid" else None) for c in empty.columns) for row in rows]
     unknown = {k for row in rows for k in row} - set(empty.columns)
     assert not unknown, unknown
     return spark.createDataFrame(data, empty.schema)

@@ -349,8 +349,8 @@ def test_job_groups(spark):
     one, two, three = (timedelta(hours=h) for h in (1, 2, 3))
     cpu = [timedelta(seconds=s) for s in (1, 2, 4)]
     assert rows(got) == [
-        ("TASK$_1", 2, DAY, one, three, cpu[1], cpu[2], "load", "s"),
-        ("TASK$_2", 1, DAY, one, one, cpu[0], cpu[0], None, None),
+        (1, "TASK$_1", 2, DAY, one, three, cpu[1], cpu[2], "load", "s"),
+        (1, "TASK$_2", 1, DAY, one, one, cpu[0], cpu[0], None, None),
     ]
 
 
@@ -545,6 +545,7 @@ def usage_tables(spark, modified_at=DAY + timedelta(minutes=10), **more):
             spark, "constraint_def", [{"index_owner": "O", "index_name": "I2", "constraint_type": "P"}]
         ),
         "plan_line": frame(spark, "plan_line", [{"object_owner": "O", "object_name": "I1"}]),
+        "index_usage_info": frame(spark, "index_usage_info", [{"index_stats_enabled": 1}]),
     }
 
 
