@@ -276,17 +276,62 @@ def _validated(position: int, table: str, keys: str | None) -> str:
             {null_keys} null_keys, {repeated} duplicate_keys from {table})"""
 
 
-def _column_profile(table: str, column: str, width: int | None) -> str:
+def _column_profile(table: str, column: str, width: int | str | None, distinct: bool = True) -> str:
+    """One column's row; a width given as text is that of an array's bytes, which has no limits."""
     size = f"case when {column} is null then 0 else {width or f'strlen({column})'} end"
+    limits = [f"cast({f}({column}) as varchar)" if not isinstance(width, str) else "cast(null as varchar)" for f in ("min", "max")]
     return f"""
-        select '{table}' table_name, '{column}' column_name, count(*) num_rows,
-            count(*) - count({column}) num_nulls, count(distinct {column}) num_distinct,
+        select 'GIVEN' "owner", '{table}' table_name, '{column}' column_name, count(*) num_rows,
+            count(*) - count({column}) num_nulls,{f" count(distinct {column}) num_distinct," if distinct else ""}
             {rounded(f"sum({size})", "count(*)")} avg_col_len,
-            cast(min({column}) as varchar) min_value, cast(max({column}) as varchar) max_value,
+            {limits[0]} min_value, {limits[1]} max_value,
             timestamp '2024-01-31 00:00:00' last_analyzed
         from {table}"""
 
 
+def _indexed(columns: list[str]) -> str:
+    return " or ".join(f"{c} is not null" for c in columns)
+
+
+def _index_row(name: str, table: str, columns: list[str], unique: bool = False, pct_free: int = 10) -> str:
+    return f"""
+        select 'GIVEN' "owner", '{name}' index_name, 'GIVEN' table_owner, '{table}' table_name,
+            '{"UNIQUE" if unique else "NONUNIQUE"}' uniqueness, 'NO' partitioned,
+            (select count(*) from {table} where {_indexed(columns)}) num_rows,
+            (select count(*) from (select distinct {", ".join(columns)} from {table} where {_indexed(columns)})) distinct_keys,
+            cast(null as bigint) blevel, cast(null as bigint) leaf_blocks, cast({pct_free} as bigint) pct_free"""
+
+
+def _index_size_row(name: str, table: str, columns: list[str], pct_free: int = 10) -> str:
+    widths = {c: _PROFILED[table][c] or f"coalesce(strlen({c}), 0)" for c in columns}
+    lengths = ", ".join(rounded(f"sum(case when {c} is null then 0 else {w} end)", "count(*)") + f" w{k}" for k, (c, w) in enumerate(widths.items()))
+    nulls = ", ".join(f"count(*) - count({c}) u{k}" for k, c in enumerate(columns))
+    rowset = " + ".join(f"(n - u{k}) * w{k}" for k in range(len(columns)))
+    estimate = f"(n * 1200 + ({rowset}) * {100 + pct_free})"
+    return f"""
+        select 'GIVEN' index_owner, '{name}' index_name, 'NO' partitioned, n num_rows, d distinct_keys,
+            {" + ".join(f"w{k}" for k in range(len(columns)))} avg_row_len,
+            cast(null as bigint) blevel, cast(null as bigint) leaf_blocks,
+            {rounded("n * 40", "1", MIB, 3)} allocated_for_segment_mb,
+            {rounded(f"n * ({' + '.join(f'w{k}' for k in range(len(columns)))})", "1", MIB, 3)} used_by_data_mb,
+            {rounded(estimate, "100", MIB, 3)} estimated_index_size_mb,
+            {rounded(estimate, "(n * 40)", 1, 2)} pct_used
+        from (select {lengths}, {nulls}, count(*) filter (where {_indexed(columns)}) n from {table}),
+            (select count(*) d from (select distinct {", ".join(columns)} from {table} where {_indexed(columns)}))"""
+
+
+_INDEXES = (
+    ("LINEITEM_LINE", "lineitem", ["l_orderkey", "l_linenumber"]),
+    ("LINEITEM_PART", "lineitem", ["l_partkey", "l_suppkey"]),
+    ("LINEITEM_STATE", "lineitem", ["l_returnflag", "l_linestatus", "l_shipdate"]),
+    ("LINEITEM_PRICE", "lineitem", ["l_extendedprice"]),
+    ("ORDERS_PK", "orders", ["o_orderkey"]),
+    ("ORDERS_CUSTOMER", "orders", ["o_custkey", "o_orderdate"]),
+    ("DOCUMENTS_TEXT", "documents", ["lang", "text"]),
+)
+_FREE = {"LINEITEM_PRICE": 0}
+
+
 _EXCLUDED = f"""
         select u.table_name from user_tbl u join tab_statistic s on s.table_name = u.table_name
         where s.stattype_locked is null and (
@@ -295,18 +340,47 @@ _EXCLUDED = f"""
             or regexp_matches(upper(u.table_name), '^(TTX\\$|TDS\\$|TUP\\$|TEMP_|TMP_)')
             or regexp_matches(upper(u.table_name), '_(TEST|TEMP|TMP|OLD)'))"""
 
-# Column widths in bytes; None is text, measured by its UTF-8 bytes.
+# Column widths in bytes; None is text, measured by its UTF-8 bytes, text an expression for the bytes.
 _PROFILED = {
+    "region": {"r_regionkey": 4, "r_name": None},
+    "nation": {"n_nationkey": 4, "n_name": None, "n_regionkey": 4},
     "customer": {
         "c_custkey": 8, "c_name": None, "c_nationkey": 4, "c_acctbal": 8, "c_mktsegment": None,
     },
+    "supplier": {"s_suppkey": 8, "s_name": None, "s_nationkey": 4, "s_acctbal": 8},
     "part": {
         "p_partkey": 8, "p_name": None, "p_brand": None, "p_type": None, "p_size": 4,
         "p_retailprice": 8,
     },
+    "orders": {
+        "o_orderkey": 8, "o_custkey": 8, "o_orderstatus": None, "o_totalprice": 8, "o_orderdate": 8,
+        "o_orderpriority": None,
+    },
+    "lineitem": {
+        "l_orderkey": 8, "l_partkey": 8, "l_suppkey": 8, "l_linenumber": 4, "l_quantity": 8,
+        "l_extendedprice": 8, "l_discount": 8, "l_tax": 8, "l_returnflag": None,
+        "l_linestatus": None, "l_shipdate": 8,
+    },
+    "events": {
+        "event_id": 8, "ts": 8, "user_id": 8, "event_type": None, "value": 8, "props": None,
+    },
     "documents": {"doc_id": 8, "text": None, "lang": None, "source": None, "n_chars": 8},
+    "embeddings": {"vec_id": 8, "embedding": "4 * len(embedding)", "label": 4},
+    "pages": {"page_id": 8, "url": None, "html": None},
+    "benchmark": {"item_id": 8, "text": None},
+    "labels": {"doc_id": 8, "quality": 4, "toxic": 4},
+    "conversations": {"conv_id": 8, "turn": 8, "role": None, "text": None},
 }
 
+
+def _profiled(distinct: bool) -> str:
+    return " union all ".join(
+        _column_profile(table, column, width, distinct)
+        for table, columns in _PROFILED.items()
+        for column, width in columns.items()
+    )
+
+
 REPORTS: dict[str, str] = {
     "sql_common_info": """
         select c.command_name, t.sql_id,
@@ -575,11 +649,35 @@ REPORTS: dict[str, str] = {
             select 1 from active_now a
             where a.session_id = l.sid and a.session_serial = l.serial_no and a.sql_id = l.sql_id
                 and a.top_level_sql_id in (select sql_id from longop where opname = 'click'))""",
-    "table_profile": " union all ".join(
-        _column_profile(table, column, width)
-        for table, columns in _PROFILED.items()
-        for column, width in columns.items()
+    "table_profile": _profiled(distinct=True),
+    "table_profile_merged": _profiled(distinct=False),
+    "index_profile": " union all ".join(
+        _index_row(name, table, columns, name == "ORDERS_PK", _FREE.get(name, 10)) for name, table, columns in _INDEXES
+    ),
+    "index_size_estimate_profiled": " union all ".join(
+        _index_size_row(name, table, columns, _FREE.get(name, 10)) for name, table, columns in _INDEXES
     ),
+    "validate_index": """
+        with entries as (
+            select o_orderkey, o_custkey + case when o_orderkey % 107 = 0 and o_orderkey % 103 <> 0 then 1 else 0 end o_custkey,
+                o_orderdate
+            from orders where o_orderkey % 101 <> 0
+            union all
+            select case when o_orderkey % 103 = 0 then o_orderkey else -o_orderkey end, o_custkey, o_orderdate
+            from orders where o_orderkey % 101 <> 0
+                and (o_orderkey % 103 = 0 or (o_orderkey % 109 = 0 and o_orderkey % 107 <> 0))),
+        sides as (
+            select o_orderkey, o_custkey, o_orderdate, 1 t, 0 i from orders
+            union all
+            select o_orderkey, o_custkey, o_orderdate, 0, 1 from entries),
+        alike as (select o_orderkey, o_custkey, o_orderdate, sum(t) t, sum(i) i from sides group by all having sum(t) <> sum(i))
+        select o_orderkey,
+            case when max(t - i) > 0 and max(case when t = 0 then i else 0 end) > 0 then 'changed'
+                when max(t - i) > 0 then 'lost' when max(case when t = 0 then i else 0 end) > 0 then 'stray'
+                else 'doubled' end verdict,
+            cast(sum(greatest(t - i, 0)) as bigint) rows_without_entry,
+            cast(sum(greatest(i - t, 0)) as bigint) entries_without_row
+        from alike group by o_orderkey""",
     "validate_tables": " union all ".join(
         _validated(i, table, keys) for i, (table, keys) in enumerate(_IDENTIFIED.items(), start=1)
     ),

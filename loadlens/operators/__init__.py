@@ -8,7 +8,14 @@ from loadlens.operators.jobs import (
     job_sql_attribution_all,
 )
 from loadlens.operators.overview import sql_profile
-from loadlens.operators.profiling import table_profile
+from loadlens.operators.profiling import (
+    Index,
+    index_profile,
+    merged_profile,
+    profile_parts,
+    profiled_catalog,
+    table_profile,
+)
 from loadlens.operators.sessions import (
     long_operations,
     long_operations_running,
@@ -44,10 +51,11 @@ from loadlens.operators.upkeep import (
     pending_stats,
     stats_exclusions,
 )
-from loadlens.operators.validation import Dataset, validate_tables
+from loadlens.operators.validation import Dataset, index_discrepancies, validate_tables
 
 __all__ = [
     "Dataset",
+    "Index",
     "add_snaps",
     "buffer_summary",
     "corrupt_extents",
@@ -55,6 +63,8 @@ __all__ = [
     "daily_logons",
     "daily_stat_sum",
     "gather_exclusions",
+    "index_discrepancies",
+    "index_profile",
     "index_size_estimate",
     "index_usage",
     "job_group_summary",
@@ -63,6 +73,7 @@ __all__ = [
     "locked_stats",
     "long_operations",
     "long_operations_running",
+    "merged_profile",
     "monitor_executions",
     "monitor_rows",
     "multi_plan_queries",
@@ -70,6 +81,8 @@ __all__ = [
     "pending_stats",
     "plan_stats",
     "plan_stats_ash",
+    "profile_parts",
+    "profiled_catalog",
     "queries_by_text",
     "sessions_for_user",
     "sql_common_info",

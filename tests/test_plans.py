@@ -17,7 +17,7 @@ LARGE = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
 }
 # One row per task is merged into the table's totals.
-ONE_ROW_TOTALS = {"table_profile"}
+ONE_ROW_TOTALS = {"table_profile", "index_size_estimate_profiled"}
 # One row per task is merged into the bound that the scan of the job log gets.
 ONE_BOUND = {f"{name}{two}" for name in ("job_group_summary", "job_sql_attribution_all") for two in ("", "_databases")}
 NAMES = sorted(set(entry_point.report_queries()) - {"validate_tables"})
