@@ -106,3 +106,72 @@ SPELLING = f"""
         select y.word, f.form, y.steps + 1 from ways y join formed f on f.word = y.root where f.form is not null)
     select f.word, f.form, y.root, f.n, f.n_near, f.form_n
     from formed f join (select word, arg_max(root, steps) root from ways group by word) y on y.word = f.word"""
+
+
+def _distance(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two lists of counts; null where one is empty."""
+    x, y = f"(x / list_sum({p}))", f"({q}[i] / list_sum({q}))"
+    parts = f"case when {x} > 0 then {x} * log2(2 * {x} / ({x} + {y})) else 0 end + case when {y} > 0 then {y} * log2(2 * {y} / ({x} + {y})) else 0 end"
+    return f"case when list_sum({p}) > 0 and list_sum({q}) > 0 then sqrt(greatest(list_sum(list_transform({p}, lambda x, i: {parts})) / 2, 0)) end"
+
+
+def divergence(
+    common_words: dict[str, str], kinds: tuple[str, ...], least: int, judged: int, common: int,
+    char: float, word: float, cover: float,
+) -> str:
+    """Base figures by listing words, windows and lines; distances from sums over the languages."""
+    lists = {name: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]" for name, words in common_words.items()}
+    widest = max(len(w.split()) for w in common_words.values())
+    known = "case tongue " + " ".join(f"when '{n}' then {words}" for n, words in lists.items()) + " end"
+    hits = {n: f"len(list_filter(letters, lambda x: list_contains({words}, x)))" for n, words in lists.items()}
+    most = f"greatest({', '.join(hits.values())})"
+    guess = "case " + " ".join(f"when {h} = {most} then '{n}'" for n, h in hits.items()) + " end"
+    removed = [f"""length(t) - length(regexp_replace(t, '{k.replace("'", "''")}', '', 'g'))""" for k in kinds]
+    chars = ", ".join([*removed, "length(t) - word_chars", "n_symbols"])
+    sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i}])" for i in range(1, n + 1)) + "]"
+    n_chars = len(kinds) + 3
+    return f"""
+    with texts as (
+        select row_number() over () id, doc_id, lang, coalesce(text, '') t,
+            regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w,
+            regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') letters
+        from documents),
+    windows as (select id, unnest(range(1, len(w) - 1)) i, w from texts),
+    twice as (
+        select id, i from (
+            select id, i, count(*) over (partition by id, [w[i], w[i + 1], w[i + 2]]) c from windows) where c > 1),
+    repeated as (
+        select id, count(distinct k) n from (select id, unnest([i, i + 1, i + 2]) k from twice) group by id),
+    lines as (
+        select id, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) n,
+            len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) d
+        from texts),
+    base as (
+        select x.*, len(w) n_words, cast(list_sum(list_transform(w, lambda v: length(v))) as bigint) word_chars,
+            length(t) - length(translate(t, '#*$%&|<>', '')) n_symbols, l.n - l.d n_dup_lines, coalesce(r.n, 0) n_repeat_words
+        from texts x join lines l using (id) left join repeated r using (id)),
+    counted as (
+        select * replace (coalesce(word_chars, 0) as word_chars),
+            n_words < {least} or 100 * n_repeat_words > 50 * n_words base_failed,
+            case when lang is null then {guess} when lang in ({", ".join(f"'{n}'" for n in lists)}) then lang end tongue
+        from base),
+    kinds as (select *, [{chars}] c0, {known} listed from counted),
+    histograms as (
+        select *, list_transform(c0, lambda x: x - 0) || [length(t) - list_sum(c0)] chars,
+            list_transform(listed, lambda v: len(list_filter(letters, lambda x: x = v))) hist,
+            case when listed is not null then [len(list_filter(letters, lambda x: list_contains(listed, x))),
+                len(list_filter(letters, lambda x: not list_contains(listed, x)))] end cover
+        from kinds),
+    refs as (
+        select tongue, {sums("chars", n_chars)} chars, {sums("hist", widest)} hist, {sums("cover", 2)} cover
+        from histograms where not base_failed group by tongue),
+    whole as (select {sums("chars", n_chars)} chars from histograms where not base_failed),
+    measured as (
+        select h.*, {_distance("h.chars", "coalesce(case when h.tongue is null then a.chars end, r.chars)")} cd,
+            {_distance("h.hist", "list_filter(r.hist, lambda z: z is not null)")} wd, {_distance("h.cover", "r.cover")} vd,
+            {_distance("[0, 1]", "r.cover")} bare
+        from histograms h cross join whole a left join refs r on r.tongue = h.tongue)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        not base_failed and not coalesce(cd > {char} or (cover[1] >= {common} and wd > {word})
+            or (cover[1] + cover[2] >= {judged} and vd > {cover} * bare), false) kept
+    from measured"""

@@ -1,13 +1,20 @@
 """Quality rules by divergence from language references, in DataFrame functions only.
 
-Each text has two histograms: kinds of characters, and common words of its language (all other words
-in one more bin). The references are the same histograms summed over all documents of a language
-that pass the base rules. A text goes when the Jensen-Shannon distance of one of its histograms from
-the reference is over a limit; the limit for words is judged only from ``min_judged`` words on.
-
-A text without a known language takes the one whose common words fill most of it. A null or empty text has no
-words, so the base rule drops it. Null and repeated ids do not matter: each row is judged by itself.
-An empty table gives an empty result.
+Each text has three histograms: kinds of characters, the common words of its language among each
+other, and common words against all other words (``cover``). The references are the same histograms
+summed over all documents of a language that pass the base rules. A text goes when the Jensen-Shannon
+distance of one of its histograms from the reference is over a limit. The limit of ``cover`` is a
+share of the distance that a text without any common word has, so such a text always goes. Two
+guards keep chance out: ``cover`` is judged from ``MIN_JUDGED`` words on, the common words among each
+other from ``MIN_COMMON`` of them on.
+
+A text without a language is judged by the one whose common words fill most of it (of several, the
+first listed). A text in a language that is not listed has no words to compare; its characters are
+compared with those of all documents.
+
+A null or empty text has no words, so the base rule drops it. Null and repeated ids do not matter:
+each row is judged by itself. An empty table gives an empty result. A very long text is counted
+whole, in one row. Input columns are kept; one with the name of a new column is replaced.
 """
 
 from __future__ import annotations
@@ -28,19 +35,25 @@ COMMON_WORDS = {
 SPACE = "[^\\x20\\x09-\\x0D]"
 MIN_WORDS = 50
 MAX_REPEATED = 50
-#: Words from which a histogram of words is steady enough to judge.
-MIN_JUDGED = 50
+#: Words, and common words, from which a histogram of them is steady enough to judge.
+MIN_JUDGED = 60
+MIN_COMMON = 100
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.45
+MAX_WORD_DISTANCE = 0.50
+#: Share of the distance of a text without common words.
+MAX_COVER = 0.70
+FIGURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+    "char_distance", "word_distance", "cover_distance", "kept",
+)
 
 #: Kinds of characters counted by removing them; white space and symbols come from the base figures, and what is left is the last kind.
 KINDS = ("\\p{Lu}", "\\p{Nd}", "[.,;:!?'\"()-]")
 
 
-def _base(docs: DataFrame) -> DataFrame:
-    """``docs`` with words and base figures; all arrays belong to one text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("_text", text).withColumn("_words", F.array_remove(F.split("_text", "[\\x20\\x09-\\x0D]+"), ""))
+def _base(rows: DataFrame) -> DataFrame:
+    """``_row``, ``_tag`` and ``_text`` with base figures; all arrays belong to one text."""
+    found = rows.withColumn("_words", F.array_remove(F.split("_text", "[\\x20\\x09-\\x0D]+"), ""))
     windows = F.when(
         F.size("_words") >= 3,
         F.transform(
@@ -71,7 +84,8 @@ def _base(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(SPACE))
     found = found.withColumn("_lines", lines)
     return found.select(
-        *docs.columns,
+        "_row",
+        "_tag",
         "_text",
         F.col("_n").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_text", "[\\x20\\x09-\\x0D]+", "")).cast("long").alias("word_chars"),
@@ -112,17 +126,16 @@ def _char_histogram() -> Column:
 
 
 def _histograms(base: DataFrame) -> DataFrame:
-    """Adds ``_lang``, ``_chars`` and ``_hist``, the counts of common words with all other words last."""
-    own = base.columns
+    """Adds ``_lang``, ``_chars``, ``_hist`` (counts of the common words) and ``_cover`` (common, other words)."""
     found = base.withColumn("_chars", _char_histogram())
     found = found.withColumn("_letters", F.array_remove(F.split(F.lower("_text"), "[^\\p{L}]+"), ""))
-    # Without a known language: the one whose common words take up most of the text.
+    # Without a language: the one whose common words take up most of the text, the first listed of several.
     hits = [
-        F.struct(F.size(_only("_letters", listed)).alias("hits"), F.lit(name).alias("name"))
-        for name, listed in COMMON_WORDS.items()
+        F.struct(F.size(_only("_letters", listed)).alias("hits"), F.lit(-k).alias("k"), F.lit(name).alias("name"))
+        for k, (name, listed) in enumerate(COMMON_WORDS.items())
     ]
-    known = F.when(F.col("lang").isin(list(COMMON_WORDS)), F.col("lang"))
-    found = found.withColumn("_lang", F.when(known.isNotNull(), known).otherwise(F.greatest(*hits)["name"]))
+    tagged = F.when(F.col("_tag").isin(list(COMMON_WORDS)), F.col("_tag"))
+    found = found.withColumn("_lang", F.when(F.col("_tag").isNull(), F.greatest(*hits)["name"]).otherwise(tagged))
     found = found.withColumn("_common", _by_language("_lang", lambda k: _only("_letters", k)))
     counts = _by_language(
         "_lang",
@@ -130,8 +143,11 @@ def _histograms(base: DataFrame) -> DataFrame:
             _listed(k), lambda v: (F.size("_common") - F.size(F.array_remove("_common", v))).cast("long")
         ),
     )
-    other = F.array((F.size("_letters") - F.size("_common")).cast("long"))
-    return found.select(*[c for c in own if c != "_text"], "_lang", "_chars", F.concat(counts, other).alias("_hist"))
+    cover = F.array(F.size("_common").cast("long"), (F.size("_letters") - F.size("_common")).cast("long"))
+    return found.select(
+        *[c for c in base.columns if c not in ("_text", "_tag")], "_lang", "_chars", counts.alias("_hist"),
+        F.when(F.col("_lang").isNotNull(), cover).alias("_cover"),
+    )
 
 
 def _distance(counts: Column, reference: Column) -> Column:
@@ -147,48 +163,58 @@ def _distance(counts: Column, reference: Column) -> Column:
     return F.when((total(counts) > 0) & (total(reference) > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with base figures and distances from the references of all documents."""
+def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with base figures, distances from the references and ``kept``."""
     names = list(COMMON_WORDS)
-    own = [c for c in docs.columns if not c.startswith("_")]
+    own = [c for c in (docs.columns if keep is None else keep) if c not in FIGURES]
+    rows = docs.select(
+        F.struct(*own).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.col("lang").alias("_tag")
+    )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    base = _base(docs.select(*own)).withColumn("base_failed", failed)
-    kept = stored(_histograms(base), "histograms")
+    found = stored(_histograms(_base(rows).withColumn("base_failed", failed)), "histograms")
 
     # Sums are combined before the exchange: a row a language and task.
-    bins = {n: len(w.split()) + 1 for n, w in COMMON_WORDS.items()}
-    kinds = len(KINDS) + 3
-    sums = [F.sum(F.get("_chars", F.lit(i))).alias(f"c{i}") for i in range(kinds)]
-    sums += [F.sum(F.get("_hist", F.lit(i))).alias(f"w{i}") for i in range(max(bins.values()))]
-    rows = kept.filter(~F.col("base_failed")).groupBy("_lang").agg(*sums).collect()  # one row a language
-    rows = {r["_lang"]: r for r in rows}
-
-    def reference(name: str, letter: str, n: int) -> Column:
-        row = rows.get(name)
-        return F.array(*[F.lit(int(row[f"{letter}{i}"] or 0) if row else 0).cast("long") for i in range(n)])
-
-    def against(counts: str, pick) -> Column:
-        out = F.when(F.col("_lang") == names[0], pick(names[0]))
-        for n in names[1:]:
-            out = out.when(F.col("_lang") == n, pick(n))
-        return _distance(F.col(counts), F.col(f"{counts}_ref")), out
-
-    chars, chars_ref = against("_chars", lambda n: reference(n, "c", kinds))
-    words, words_ref = against("_hist", lambda n: reference(n, "w", bins[n]))
-    kept = kept.withColumn("_chars_ref", chars_ref).withColumn("_hist_ref", words_ref)
-    return kept.select(
-        *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        chars.alias("char_distance"), words.alias("word_distance"),
-    )
+    bins = {"_chars": len(KINDS) + 3, "_hist": max(len(w.split()) for w in COMMON_WORDS.values()), "_cover": 2}
+    sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in bins.items() for i in range(n)]
+    totals = found.filter(~F.col("base_failed")).groupBy("_lang").agg(*sums).collect()  # one row a language
+    totals = {r["_lang"]: r for r in totals}
+
+    def reference(counts: str, name: str | None, n: int) -> Column:
+        chosen = totals.values() if name is None else [totals[name]] if name in totals else []
+        return F.array(*[F.lit(sum(int(r[f"{counts}{i}"] or 0) for r in chosen)).cast("long") for i in range(n)])
+
+    def against(counts: str, own_counts: Column, whole: bool = False) -> Column:
+        """The distance from the reference of the row's language, or (``whole``) of all documents without one."""
+        out = F.lit(None).cast("double")
+        if whole:
+            out = F.when(F.col("_lang").isNull(), _distance(own_counts, reference(counts, None, bins[counts])))
+        for name in names:
+            n = len(COMMON_WORDS[name].split()) if counts == "_hist" else bins[counts]
+            near = _distance(own_counts, reference(counts, name, n))
+            out = F.coalesce(F.when(F.col("_lang") == name, near), out)
+        return out
+
+    chars, words, cover = F.col("_chars"), F.col("_hist"), F.col("_cover")
+    bare = F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))
+    found = found.withColumns(
+        {
+            "char_distance": against("_chars", chars, whole=True),
+            "word_distance": against("_hist", words),
+            "cover_distance": against("_cover", cover),
+            "_bare": against("_cover", bare),
+        }
+    )
+    common = F.get("_cover", F.lit(0))
+    far = (
+        (F.col("char_distance") > MAX_CHAR_DISTANCE)
+        | ((common >= MIN_COMMON) & (F.col("word_distance") > MAX_WORD_DISTANCE))
+        | ((common + F.get("_cover", F.lit(1)) >= MIN_JUDGED) & (F.col("cover_distance") > MAX_COVER * F.col("_bare")))
+    )
+    kept = (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept")
+    return found.select("_row.*", *FIGURES[:-1], kept)
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """Figures and verdict of all documents, in the columns of the contract."""
-    found = measured(docs.select("doc_id", "text", "lang"))
-    far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > MAX_CHAR_DISTANCE) | (
-        (F.col("n_words") >= MIN_JUDGED) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) > MAX_WORD_DISTANCE)
-    )
-    return found.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~far).alias("kept"),
-    )
+    found = measured(docs, ["doc_id"])
+    return found.select("doc_id", *FIGURES[:6], "kept")

@@ -83,4 +83,14 @@ _NEAR_DUPLICATES = r"""
 
 def oracle_sql() -> dict[str, str]:
     """Check SQL for the queries that SQL expresses plainly; the tests hold the others against plain versions."""
-    return {"op4_setsketch_near_duplicates": _NEAR_DUPLICATES, "op11_spelling_variants": check_sql.SPELLING, "op13_merkle_manifest": check_sql.MERKLE}
+    rules = quality_rules
+    divergence = check_sql.divergence(
+        rules.COMMON_WORDS, rules.KINDS, rules.MIN_WORDS, rules.MIN_JUDGED, rules.MIN_COMMON,
+        rules.MAX_CHAR_DISTANCE, rules.MAX_WORD_DISTANCE, rules.MAX_COVER,
+    )
+    return {
+        "op2_divergence_rules": divergence,
+        "op4_setsketch_near_duplicates": _NEAR_DUPLICATES,
+        "op11_spelling_variants": check_sql.SPELLING,
+        "op13_merkle_manifest": check_sql.MERKLE,
+    }
