@@ -15,13 +15,21 @@ _RANGE = 1 << 30
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
     """``doc_id``, ``text`` and ``label`` of labelled documents outside the held-out fold.
 
-    Of more than ``SAMPLE`` labelled rows those with the lowest id hashes are taken. Rows without an
-    id or a label of 0 or 1 train nothing; of several labels of one id the greatest counts.
+    Of more than ``SAMPLE`` labelled ids those with the lowest hashes are taken, each with one text:
+    of several that with the least hash. So the rows are about ``SAMPLE`` at most, however often an
+    id is repeated. Rows without an id or a label of 0 or 1 train nothing; of several labels of one
+    id the greatest counts.
     """
     own = labels.select("doc_id", F.col(label).cast("int").alias("label"))
     own = own.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold_of("doc_id", folds) != held_out))
     own = own.groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, SAMPLE / max(1, own.count()))
     own = stored(own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_RANGE)) < int(share * _RANGE)), "labelled")
-    # Bounded by SAMPLE rows of two numbers, so fit for every task.
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    # Bounded by SAMPLE rows of a few numbers, so fit for every task.
+    digest = F.xxhash64("text").alias("digest")
+    texts = docs.select("doc_id", "text", digest)
+    chosen = texts.select("doc_id", "digest").join(F.broadcast(own), "doc_id")
+    chosen = chosen.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("label").alias("label"))
+    rows = texts.join(F.broadcast(stored(chosen, "chosen")), ["doc_id", "digest"])
+    # Rows left of one id hold one text.
+    return rows.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("label").alias("label"))

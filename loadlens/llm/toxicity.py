@@ -42,6 +42,8 @@ SIZES = (4, 5, 6)
 FEATURES = 1 << 18
 #: Standard errors by which a feature leans to a class before it counts, and the pull of weights to 0.
 LEAN = 5.0
+#: Parts that a chance is counted in when chances are added up over the cluster.
+_SCALE = 1 << 30
 DECAY = 1e-3
 #: One labelled row of this many sets how sums become scores instead of the weights.
 CALIBRATION = 5
@@ -212,6 +214,20 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(self.scale * total + self.shift, -30, 30))))
 
 
+def _told(rows: DataFrame, posterior: dict[int, float], share: float) -> np.ndarray:
+    """``telling`` counted on the cluster, from ``bits`` and ``places`` of the rows."""
+    # Whole numbers, so that the sum does not depend on the order of rows.
+    say = F.create_map(*[F.lit(x) for k, p in posterior.items() for x in (k, round(p * _SCALE))])
+    sums = rows.select(F.element_at(say, F.col("bits")).alias("p"), F.explode("places").alias("place"))
+    sums = sums.groupBy("place").agg(F.count("*").alias("n"), F.sum("p").alias("p"))
+    n = F.col("n")
+    lean = (F.col("p") / _SCALE - n * share) / F.sqrt(n * (share * (1 - share)))
+    places = sums.filter((F.abs(lean) >= LEAN) & (n >= LEAST)).select("place").toArrow()  # FEATURES at most
+    told = np.zeros(FEATURES, bool)
+    told[places.column("place").to_numpy()] = True
+    return told
+
+
 def telling(rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
     """Whether each feature leans to one class by more than chance: its mean posterior, in standard errors."""
     flat = np.concatenate(rows)
@@ -267,19 +283,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Linear:
                         pa.struct([("bits", pa.int32()), ("places", pa.list_(pa.int32()))]))
 
     made = F.arrow_udf(read, "struct<bits:int,places:array<int>>")("text").alias("f")
-    got = rows.select("doc_id", "label", made).select("doc_id", "label", "f.*").toArrow()  # bounded by the sample
+    read_rows = stored(rows.select("doc_id", "label", made).select("doc_id", "label", "f.*"), "toxic-features")
+    got = read_rows.select("doc_id", "label", "bits").toArrow()  # bounded by the sample
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    keys, bits = (got.column(c).to_numpy()[order] for c in ("doc_id", "bits"))
     y = got.column("label").to_numpy().astype(float)[order]
-    places = got.column("places").combine_chunks() if got.num_rows else None
-    own = [places[int(i)].values.to_numpy() for i in order]
     share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.1
     model = label_model(alone, pairs, n, share)
-    if not own:
+    if not len(y):
         return Linear(np.zeros(FEATURES), float(np.log(share / (1 - share))))
-    target = model.posterior(_fired(got.column("bits").to_numpy()[order].astype(np.int64)))
-    apart = np.array([in_fold(f"c{k}", CALIBRATION) == 0 for k in got.column("doc_id").to_numpy()[order]])
+    target = model.posterior(_fired(bits.astype(np.int64)))
+    apart = np.array([in_fold(f"c{k}", CALIBRATION) == 0 for k in keys])
     if not 0 < y[apart].sum() < apart.sum():
         apart[:] = False
+    # Of the features only those that tell anything leave the cluster.
+    taught = read_rows
+    if apart.any():
+        taught = taught.filter(F.pmod(F.crc32(F.concat(F.lit("c"), F.col("doc_id")).cast("binary")), F.lit(CALIBRATION)) != 0)
+    posterior = {int(b): float(p) for b, p in zip(bits, target, strict=True)}
+    told = _told(taught, posterior, float(np.clip(target[~apart].mean(), 1e-6, 1 - 1e-6)))
+
+    def narrow(places: pa.Array) -> pa.Array:
+        return pa.array([[p for p in own if told[p]] for own in places.to_pylist()], pa.list_(pa.int32()))
+
+    kept = read_rows.select("doc_id", F.arrow_udf(narrow, "array<int>")("places").alias("places")).toArrow()
+    places = kept.column("places").combine_chunks()
+    own = [places[int(i)].values.to_numpy() for i in np.argsort(kept.column("doc_id").to_numpy(), kind="stable")]
     linear = train([p for p, out in zip(own, apart, strict=True) if not out], target[~apart])
     judged = apart if apart.any() else ~apart
     _calibrated(linear, np.array([linear.sum(own[i]) for i in np.flatnonzero(judged)]), y[judged])
