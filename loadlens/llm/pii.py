@@ -6,13 +6,15 @@ text: look-alike characters become ASCII, spelled digits become digits, and writ
 for, so what is found there is mapped back. A span found so is added unless a plain find of its kind
 holds it already.
 
-Positions are code points, ends are exclusive. A null or empty text has no spans. Rows are handled
-by themselves, so null ids, repeated rows and further columns do not matter.
+Positions are code points, ends are exclusive. A null or empty text has no spans, a very long text is
+read whole. Rows are handled by themselves, so null ids, repeated rows and further columns do not
+matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,18 +59,24 @@ _SPELLED = (
 _VALUE = {w: str(i) for i, words in enumerate(_SPELLED) for w in words.split()}
 _VALUE |= dict.fromkeys(("dot", "point", "punkt", "punto"), ".") | {"plus": "+"}
 _SPELT = "|".join(sorted(_VALUE, key=len, reverse=True))
-#: Seven or more digits or signs of which at least three are written as words.
-_RUN = re.compile(rf"(?<!\w)(?:{_SPELT})(?:[ ,-]{{1,2}}(?:{_SPELT}|[0-9]+)){{6,}}(?!\w)", re.IGNORECASE)
+_DOT = r"(?:dot|point|punkt|punto)"
+#: Seven or more digits or signs of which at least three are written as words. Digits begin a run only before a dot in words.
+_RUN = re.compile(
+    rf"(?<!\w)(?:{_SPELT}|[0-9]+(?=[ ,-]{{1,2}}{_DOT}[ ,-]))(?:[ ,-]{{1,2}}(?:{_SPELT}|[0-9]+)){{6,}}(?!\w)", re.IGNORECASE
+)
+_LETTERS = re.compile(r"[^\W\d_]+")
 _PIECE = re.compile(rf"{_SPELT}|[0-9]+", re.IGNORECASE)
 _AT = r"(?:at|arobase|arroba)"
-_DOT = r"(?:dot|point|punkt|punto)"
 _SIGNS = re.compile(
     rf"(?P<at>[ ]?[\[({{<][ ]?{_AT}[ ]?[\])}}>][ ]?)|(?P<dot>[ ]?[\[({{<][ ]?{_DOT}[ ]?[\])}}>][ ]?)", re.IGNORECASE
 )
-# Ends of host names that make bare words an address.
-_ENDS = "com|org|net|edu|gov|info|biz|io|dev|app|co|uk|de|fr|es|it|nl|ch|at|be|eu|us|ca|mx|br|ar|in|jp|cn|au|ru"
+# Ends of host names that make bare words an address: any two letters that are no other word, and longer ones.
+_NO_END = "ah|ex|go|he|if|oh|ok|on|or|up|we"
+_ENDS = rf"(?!(?:{_NO_END})(?!\w))[a-z]{{2}}|com|org|net|edu|gov|mil|int|info|biz|name|dev|app|shop|site|online|tech|cloud|xyz"
+# Words that stand before a noun, so that "at this point in" is no address.
+_NO_HOST = "a|an|the|this|that|these|those|each|every|any|some|no|one|my|your|his|her|its|our|their|which|what"
 _BARE = re.compile(
-    rf"[A-Za-z0-9_%+-]+(?:[ ]{_DOT}[ ][A-Za-z0-9_%+-]+)?(?P<at>[ ]{_AT}[ ]|@)[A-Za-z0-9-]+(?:[ ]{_DOT}[ ][A-Za-z0-9-]+)*[ ]{_DOT}[ ](?:{_ENDS})(?!\w)",
+    rf"[A-Za-z0-9_%+-]+(?:[ ]{_DOT}[ ][A-Za-z0-9_%+-]+)?(?P<at>[ ]{_AT}[ ](?!(?:{_NO_HOST})[ ])|@)[A-Za-z0-9-]+(?:[ ]{_DOT}[ ][A-Za-z0-9-]+)*[ ]{_DOT}[ ](?:{_ENDS})(?!\w)",
     re.IGNORECASE,
 )
 _BARE_SIGN = re.compile(rf"[ ](?:(?P<at>{_AT})|{_DOT})[ ]", re.IGNORECASE)
@@ -146,9 +154,8 @@ class _Tape:
         self.changed = True
 
     def spelled_digits(self) -> None:
-        # Cheaper than the pattern: are there three words that mean digits at all?
-        words = self.text.lower().replace(",", " ").replace("-", " ").split()
-        if sum(map(_VALUE.__contains__, words)) < 3:
+        # Cheaper than the pattern, and never stricter: are there three words that mean digits at all?
+        if sum(map(_VALUE.__contains__, _LETTERS.findall(self.text.lower()))) < 3:
             return
         edits = []
         for run in _RUN.finditer(self.text):
@@ -188,9 +195,13 @@ def all_spans(text: str) -> list[tuple[str, int, int, bool]]:
     tape.signs()
     if tape.changed:
         seen = set(plain)
+        # Plain spans of a kind do not overlap, so only the last one that begins in time can hold another.
+        starts = {k: [s for kind, s, _ in plain if kind == k] for k in KINDS}
+        ends = {k: [e for kind, _, e in plain if kind == k] for k in KINDS}
         for kind, start, stop in plain_spans(tape.text):
             span = (kind, int(tape.begin[start]), int(tape.end[stop - 1]))
-            held = any(k == kind and s <= span[1] and span[2] <= e for k, s, e in plain)
+            last = bisect_right(starts[kind], span[1]) - 1
+            held = last >= 0 and span[2] <= ends[kind][last]
             if not held and span not in seen:
                 seen.add(span)
                 spans.append((*span, False))
