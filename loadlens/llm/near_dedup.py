@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.llm.common import stored
+from loadlens.llm.graph import looked_up
 from loadlens.llm.tokens import as_bytes, hashed_words, mixed, numbers
 
 SHINGLE = 5
@@ -106,7 +107,8 @@ def _sketched(docs: DataFrame) -> DataFrame:
         return pa.array(rows, pa.struct([("class", pa.binary()), ("n_shingles", pa.int64()), ("sketch", pa.binary())]))
 
     made = F.arrow_udf(sketch, "struct<class:binary,n_shingles:bigint,sketch:binary>")
-    return docs.select("doc_id", made(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.*")
+    more = [c for c in docs.columns if c != "text"]
+    return docs.select(*more, made(F.col("text").cast("binary")).alias("s")).select(*more, "s.*")
 
 
 def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -349,7 +351,7 @@ def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def membership(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``class`` and ``component_id`` of all documents."""
+    """``docs`` without text, with ``n_shingles``, ``class``, ``comp`` (least class of the component) and ``component_id``."""
     own = stored(_sketched(docs), "sketches")
     whole = own.filter(F.col("class").isNotNull())
     classes = whole.groupBy("class").agg(
@@ -359,21 +361,42 @@ def membership(docs: DataFrame) -> DataFrame:
     _, comps = links(docs, classes)
     named = classes.select("class", "label").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     least = named.groupBy("comp").agg(F.min("label").alias("component_id"))
-    named = named.join(least, "comp").select(F.col("class").alias("_class"), "component_id")
-    joined = own.select("doc_id", "class", "n_shingles").join(named, F.col("class") == F.col("_class"), "left")
+    named = named.join(least, "comp").select(F.col("class").alias("_class"), "comp", "component_id")
+    more = [c for c in docs.columns if c != "text"]
+    joined = own.drop("sketch").join(named, F.col("class") == F.col("_class"), "left")
     lone = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", "class", lone.alias("component_id"))
+    return joined.select(*more, "n_shingles", "class", "comp", lone.alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least id. All columns stay.
+    """``docs`` with one row of each component. All columns stay.
 
-    Rows without an id or without words stay. Rows that share an id go only if each of them is to go.
+    The row with the least id stays; of several texts with that id the one with the least hash, of
+    repeated rows one, told by a hash of the other columns. Rows without an id go where one with an id
+    stays. Rows without words are linked with nothing and stay.
     """
-    goes = F.bool_and(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = membership(docs).groupBy(F.col("doc_id").alias("_gone")).agg(goes.alias("_goes")).filter("_goes")
-    # By frame, for docs may have a column of the same name.
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    digest = F.xxhash64("text").alias("digest")
+    found = membership(docs.select("doc_id", digest, "text")).filter(F.col("comp").isNotNull())
+    rows = found.groupBy("comp", "doc_id", "digest").agg(F.count("*").alias("n"))
+    rows = stored(rows.withColumn("order", F.struct(F.col("doc_id").isNull(), "doc_id", "digest")), "fates")
+    stays = rows.groupBy("comp").agg(F.min("order").alias("least"))
+    fates = looked_up(rows, "comp", stays, F.col("digest")).withColumn("goes", F.col("order") != F.col("least"))
+    fates = stored(fates.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "goes", "n"), "fates")
+
+    # By frame, for docs may have columns of the same names.
+    def same(other: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(other["__id"]) & (F.xxhash64(docs["text"]) == other["__digest"])
+
+    changed = fates.filter("goes or n > 1").select("__id", "__digest")
+    whole = docs.join(changed, same(changed), "left_anti")
+    repeated = fates.filter("not goes and n > 1").select("__id", "__digest")
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    one = docs.join(repeated, same(repeated)).select(
+        "__id", "__digest", F.struct(*[docs[c] for c in docs.columns]).alias("__row"),
+        F.xxhash64(F.to_json(F.struct(F.lit(0).alias("_"), *others))).alias("__order"),
+    )
+    one = one.groupBy("__id", "__digest").agg(F.min_by("__row", "__order").alias("__row"))
+    return whole.unionByName(one.select("__row.*"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
