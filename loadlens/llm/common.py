@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder ``spark.checkpoint.dir`` names; a temporary one only where it names none."""
+    """The folder ``spark.checkpoint.dir`` names; a temporary one only in a local session that names none.
+
+    What is stored there stays until the folder is cleared. On a cluster a folder must be named, for
+    executors do not see one another's disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
