@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,8 @@ FOLDS, HELD_OUT = 3, 1
 TOXIC = 0.7
 #: Insults.
 INSULTS = "idiot moron stupid dumb loser clown scum trash worthless pathetic disgusting ugly jerk fool bastard"
+#: Words that a task remembers at once; beyond it it begins anew.
+REMEMBERED = 1 << 18
 #: Voters that share the words of the lexicon.
 DEALT = 6
 #: Word beginnings in the lexicon at most, the strongest first.
@@ -69,12 +71,37 @@ def beginnings(words: set[str]) -> set[str]:
     return out
 
 
-def votes(text: str, lexicon: frozenset[str]) -> int:
-    """The voters that fire, as bits."""
+class Remembered(dict):
+    """What a function gives for each word, kept for the words met last, as few words make up most of a text."""
+
+    def __init__(self, of: Callable) -> None:
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = got = self.of(word)
+        return got
+
+    def __reduce__(self):
+        return Remembered, (self.of,)
+
+
+def word_votes(lexicon: frozenset[str]) -> Remembered:
+    """The voter that a word of the lexicon makes fire, as a bit; 0 for other words."""
+
+    def of(w: str) -> int:
+        hit = f"={w}" in lexicon or any(w[:size] in lexicon for size in SIZES)
+        return 1 << zlib.crc32(w.encode()) % DEALT if hit else 0
+
+    return Remembered(of)
+
+
+def votes(text: str, voted: Remembered) -> int:
+    """The voters that fire, as bits, by the votes of words."""
     out = 0
     for w in words_of(text):
-        if f"={w}" in lexicon or any(w[:size] in lexicon for size in SIZES):
-            out |= 1 << zlib.crc32(w.encode()) % DEALT
+        out |= voted[w]
     n = len(text) + 1
     shown = (
         len(_SHOUT.findall(text)) * 200 > n,
@@ -178,8 +205,10 @@ def _fired(bits: np.ndarray) -> np.ndarray:
 def vote_counts(docs: DataFrame, lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray, float]:
     """Over all documents: how often each voter and each pair of voters fires, and the documents."""
 
+    voted = word_votes(lexicon)
+
     def vote(texts: pa.Array) -> pa.Array:
-        return pa.array([votes(t or "", lexicon) for t in texts.to_pylist()], pa.int32())
+        return pa.array([votes(t or "", voted) for t in texts.to_pylist()], pa.int32())
 
     # One row for each set of voters that fires, of 2 ** VOTERS at most.
     rows = docs.select(F.arrow_udf(vote, "int")("text").alias("bits")).groupBy("bits").agg(F.count("*").alias("n"))
@@ -193,9 +222,14 @@ def vote_counts(docs: DataFrame, lexicon: frozenset[str]) -> tuple[np.ndarray, n
     return np.diag(pairs).copy(), pairs, float(got["n"] or 0)
 
 
-def features(text: str) -> np.ndarray:
-    """Sorted places of the features of a text."""
-    return np.array(sorted({zlib.crc32(b.encode()) & (FEATURES - 1) for b in beginnings(words_of(text))}), np.int32)
+def places_of(word: str) -> list[int]:
+    """Places of the features of a word."""
+    return [zlib.crc32(b.encode()) & (FEATURES - 1) for b in beginnings({word})]
+
+
+def features(text: str, places: Remembered) -> np.ndarray:
+    """Sorted places of the features of a text, by the places of words."""
+    return np.array(sorted({p for w in words_of(text) for p in places[w]}), np.int32)
 
 
 @dataclass
@@ -278,8 +312,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Linear:
     lexicon = lexicon_of(rows)
     alone, pairs, n = vote_counts(docs, lexicon)
 
+    voted, known = word_votes(lexicon), Remembered(places_of)
+
     def read(texts: pa.Array) -> pa.Array:
-        return pa.array([{"bits": votes(t or "", lexicon), "places": features(t or "")} for t in texts.to_pylist()],
+        return pa.array([{"bits": votes(t or "", voted), "places": features(t or "", known)} for t in texts.to_pylist()],
                         pa.struct([("bits", pa.int32()), ("places", pa.list_(pa.int32()))]))
 
     made = F.arrow_udf(read, "struct<bits:int,places:array<int>>")("text").alias("f")
@@ -316,10 +352,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Linear:
 
 
 def score_of(model: Linear, text: Column | str) -> Column:
-    """The score of a text column."""
+    """The score of a text column; features without weight add nothing, so most words have none to look at."""
+    weighty = model.weights != 0
+    known = Remembered(lambda word: [p for p in places_of(word) if weighty[p]])
 
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(model.sum(features(t or ""))) for t in texts.to_pylist()], pa.float64())
+        return pa.array([model.score(model.sum(features(t or "", known))) for t in texts.to_pylist()], pa.float64())
 
     return F.arrow_udf(score, "double")(text)
 

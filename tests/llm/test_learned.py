@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -306,3 +307,19 @@ def test_pipeline_stages_as_their_plain_versions(llm, tmp_path):
     pieces = steps[4][1].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in pieces} == {i: len(packing.ids_of(t)) for i, t in masked.items()}
     assert corpus_pipeline.run(llm, str(tmp_path)).count() == steps[4][1].count()
+
+
+def test_remembered_words_change_no_vote_and_no_feature(monkeypatch):
+    lexicon = frozenset({"=idiot", "vexo", "stupi"})
+    texts = [prose(k, 60) + " Idiot vexoabc STUPID! you are" * (k % 3) for k in range(12)] + ["", "one"]
+    for limit in (1, 7, 1 << 18):
+        monkeypatch.setattr(toxicity, "REMEMBERED", limit)
+        voted, known = toxicity.word_votes(lexicon), toxicity.Remembered(toxicity.places_of)
+        for text in [*texts, *texts]:
+            words = toxicity.words_of(text)
+            hits = {w for w in words if f"={w}" in lexicon or w[:4] in lexicon or w[:5] in lexicon or w[:6] in lexicon}
+            want = sum(1 << d for d in {zlib.crc32(w.encode()) % toxicity.DEALT for w in hits})
+            assert toxicity.votes(text, voted) % (1 << toxicity.DEALT) == want
+            plain = {zlib.crc32(b.encode()) % toxicity.FEATURES for b in toxicity.beginnings(words)}
+            assert toxicity.features(text, known).tolist() == sorted(plain)
+        assert len(known) <= limit
