@@ -1,8 +1,10 @@
 """Secret scan: wide candidates, and a random forest that takes out the false ones.
 
-A candidate is a run of 16 or more characters that keys are written in. The forest sees its length
-and signs, how usual its letter pairs are (counted over all documents), how much of it words cover,
-whether it looks like a path, and the words next to it. It is trained from labelled findings.
+A candidate is a run of 16 or more characters that keys are written in, or a value of 8 or more
+characters assigned to a secret name. The forest sees its length and signs, how usual its letter pairs
+are (counted over all documents), how much of it the most frequent words of all documents cover,
+whether it looks like a path, and the words next to it. It is trained from labelled findings whose
+harmless words are drawn from the same dictionary.
 
 A finding is reported by place and SHA-256, never in clear. Positions are code points, ends are
 exclusive. A null or empty text has no findings; an empty corpus makes all letter pairs alike. Each
@@ -28,9 +30,18 @@ from loadlens.llm.tokens import LOWER, as_bytes
 
 TREES, DEPTH, LEAST_LEAF = 40, 9, 3
 ACCEPTED = 0.5
+#: Most frequent words of the corpus that make the dictionary, and how often the rarest occurs at least.
+DICTIONARY, LEAST = 20_000, 5
+#: Letters of the words in the dictionary.
+SHORTEST, LONGEST = 4, 20
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.-]{16,}")
+_ASSIGNED = re.compile(
+    r"(?:%s)\w{0,20}[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/=.!@#$%%^&*?~<>-]{8,})" % "|".join(sorted(SECRET_NAMES, key=len, reverse=True)),
+    re.IGNORECASE,
+)
 _NEAR = re.compile(r"[A-Za-z_0-9]+")
-_KNOWN = re.compile("|".join(sorted((w for w in {*WORDS, *SECRET_NAMES} if len(w) >= 4), key=len, reverse=True)), re.IGNORECASE)
+_LETTERS = re.compile(r"[a-z]{%d,}" % SHORTEST)
+_FIXED = frozenset(w for w in (*WORDS, *SECRET_NAMES) if len(w) >= SHORTEST)
 _RUN = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]")
 _NAMES = frozenset(SECRET_NAMES)
 _HARMLESS = frozenset(HARMLESS_NAMES)
@@ -64,7 +75,27 @@ def letter_pairs(docs: DataFrame) -> np.ndarray:
     return np.log(letters / letters.sum(axis=1, keepdims=True))
 
 
-def seen(text: str, start: int, end: int, pairs: np.ndarray) -> list[float]:
+def corpus_words(docs: DataFrame) -> list[str]:
+    """The most frequent words of plain letters over all documents, ``DICTIONARY`` of them at most, in order."""
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word"))
+    words = words.filter(F.col("word").rlike(f"^[a-z]{{{SHORTEST},{LONGEST}}}$")).groupBy("word").agg(F.count("*").alias("n"))
+    top = words.filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(DICTIONARY)
+    return sorted(r[0] for r in top.select("word").collect())
+
+
+def covered(text: str, words: frozenset[str]) -> int:
+    """Characters of a lower-cased text that words cover, from the left, the longest first."""
+    out = 0
+    for run in _LETTERS.findall(text):
+        at = 0
+        while at <= len(run) - SHORTEST:
+            size = next((k for k in range(min(LONGEST, len(run) - at), SHORTEST - 1, -1) if run[at : at + k] in words), 0)
+            out += size
+            at += size or 1
+    return out
+
+
+def seen(text: str, start: int, end: int, pairs: np.ndarray, words: frozenset[str] = _FIXED) -> list[float]:
     """The features of one candidate, as named in ``FEATURES``."""
     own = text[start:end]
     n = len(own)
@@ -89,7 +120,7 @@ def seen(text: str, start: int, end: int, pairs: np.ndarray) -> list[float]:
         low.count("-") / n,
         float(np.mean(steps)) if steps else -6.0,
         sum(s < -4.5 for s in steps) / n,
-        sum(len(m) for m in _KNOWN.findall(own)) / n,
+        covered(low, words) / n,
         own.count("/") / n,
         float(before.endswith(("/", "://", "\\", "."))),
         float(lead.endswith(("=", ":"))),
@@ -150,13 +181,17 @@ class Forest:
         return total / len(self.trees)
 
 
-def trained(pairs: np.ndarray, findings: list[tuple[str, int, int, int]]) -> Forest:
-    x = np.array([seen(text, a, b, pairs) for text, a, b, _ in findings], float)
+def trained(pairs: np.ndarray, findings: list[tuple[str, int, int, int]], words: frozenset[str] = _FIXED) -> Forest:
+    x = np.array([seen(text, a, b, pairs, words) for text, a, b, _ in findings], float)
     return Forest(x, np.array([y for *_, y in findings], float))
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs that may be secrets, without dots and equals signs that only end a sentence or begin a value."""
+    """Runs that may be secrets, without dots and equals signs that only end a sentence or begin a value.
+
+    A value of a secret name that holds no such run comes too, without a dot at its end; where name
+    and value are one run, the value alone.
+    """
     out = []
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
@@ -166,23 +201,38 @@ def candidates(text: str) -> list[tuple[int, int]]:
             end -= 1
         # name=value without spaces: the value is the candidate.
         sign = text.find("=", start, end)
-        if 0 < sign - start < end - sign - 16:
+        if sign > start and end - sign > 16:
             start = sign + 1
         if end - start >= 16:
             out.append((start, end))
-    return out
+    short, k = [], 0
+    for m in _ASSIGNED.finditer(text):
+        start, end = m.span(1)
+        while end > start and text[end - 1] == ".":
+            end -= 1
+        while k < len(out) and out[k][1] <= start:
+            k += 1
+        if end - start < 8:
+            continue
+        if k < len(out) and out[k][0] < start:  # name and value are one run
+            out[k] = (start, end)
+        elif k == len(out) or out[k][0] >= end:
+            short.append((start, end))
+    return sorted(out + short)
 
 
 def found(docs: DataFrame, findings: list[tuple[str, int, int, int]] | None = None) -> DataFrame:
     """All findings of all documents that the forest takes for secrets, a row each."""
     pairs = letter_pairs(docs)
-    forest = trained(pairs, findings or labelled_findings())
+    common = corpus_words(docs)
+    words = _FIXED | frozenset(common)
+    forest = trained(pairs, findings or labelled_findings(words=common or WORDS), words)
 
     def scan(texts: pa.Array) -> pa.Array:
         rows = []
         for text in texts.to_pylist():
             places = candidates(text) if text else []
-            scores = forest.scores(np.array([seen(text, a, b, pairs) for a, b in places], float)) if places else []
+            scores = forest.scores(np.array([seen(text, a, b, pairs, words) for a, b in places], float)) if places else []
             rows.append(
                 [
                     {"start": a, "end": b, "score": float(s), "sha256": hashlib.sha256(text[a:b].encode()).hexdigest()}
