@@ -5,7 +5,8 @@ copies are never compared. Each class has a SetSketch: registers that hold expon
 truncated minima of the shingles' hashes. Four registers make a band; classes that share a band meet
 in a bucket. In a bucket not all pairs are formed: members are held against one centre, the member
 that meets most others, and only members that no link joins to the rest are looked at again, at last
-with every member of another component. Shingles that no other member has are counted first: a text
+with every member of another component; members of a crowded bucket then meet only where they share
+one of their rarest shingles, which loses no link. Shingles that no other member has are counted first: a text
 with too many of them can link with none, which settles texts that share a mere passage without
 forming pairs. The likelihood of the registers rules out hopeless pairs, and what is left is
 confirmed on the full sets. Links become components by label propagation.
@@ -26,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadlens.llm.common import stored
-from loadlens.llm.graph import looked_up
+from loadlens.llm.graph import components, looked_up
 from loadlens.llm.tokens import as_bytes, hashed_words, mixed, numbers
 
 SHINGLE = 5
@@ -47,6 +48,8 @@ RATE = 20.0
 LOG_RATIO = 12.0
 #: Shingles in a block of a bucket's last members, about.
 BLOCK = 50_000
+#: Last members of more blocks than this meet by their rarest shingles, not block by block.
+FEW_BLOCKS = 8
 #: Turns with one centre a bucket before the rest is held against each other.
 ROUNDS = 1
 #: A side of at most this many rows of 40 bytes is sent to all tasks.
@@ -195,24 +198,9 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(rows.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``class`` and ``comp``, the least class reachable, of all classes with links; links are ``a``, ``b``."""
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("class"), F.least("a", "m").alias("comp"))
-    labels = stored(labels, "labels")
-    while True:
-        # The least label around, then the label of that label.
-        around = both.join(labels.select(F.col("class").alias("b"), F.col("comp")), "b")
-        around = around.groupBy(F.col("a").alias("class")).agg(F.min("comp").alias("seen"))
-        step = labels.join(around, "class").select("class", F.col("comp").alias("old"), F.least("comp", "seen").alias("comp"))
-        further = labels.select(F.col("class").alias("comp"), F.col("comp").alias("further"))
-        step = step.join(further, "comp").select(
-            "class", F.least("comp", "further").alias("comp"), (F.least("comp", "further") != F.col("old")).alias("moved")
-        )
-        step = stored(step, "labels")
-        labels = step.select("class", "comp")
-        if step.filter("moved").limit(1).count() == 0:
-            return labels
+def _components(links: DataFrame) -> DataFrame:
+    """``class`` and ``comp``, the least class reachable, of all classes with links."""
+    return components(links).withColumnRenamed("node", "class")
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -223,8 +211,8 @@ def _members(classes: DataFrame) -> DataFrame:
     return stored(keyed.join(counts, "key"), "members")
 
 
-def _lone(sets: DataFrame) -> DataFrame:
-    """``class`` and ``lone``: how many of its shingles no other class has."""
+def _spread(sets: DataFrame) -> DataFrame:
+    """``class`` and ``shingle``, a row for each shingle of each class."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,8 +220,12 @@ def _lone(sets: DataFrame) -> DataFrame:
                 own = np.frombuffer(data, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.repeat(name, len(own)), pa.array(own)], names=["class", "shingle"])
 
-    rows = sets.select("class", "shingles").mapInArrow(spread, "class binary, shingle bigint")
-    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1")
+    return sets.select("class", "shingles").mapInArrow(spread, "class binary, shingle bigint")
+
+
+def _lone(sets: DataFrame) -> DataFrame:
+    """``class`` and ``lone``: how many of its shingles no other class has."""
+    once = _spread(sets).groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1")
     return once.groupBy("class").agg(F.count("*").alias("lone"))
 
 
@@ -258,11 +250,48 @@ def _as_centres(members: DataFrame) -> DataFrame:
     return members.select("key", *[F.col(c).alias("centre" if c == "class" else f"{c}_centre") for c in own])
 
 
+def _by_rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` under new keys, so that any two that may link have one in common.
+
+    Two sets that link share one of the rarest ``n - ceil(0.75 n) + 1`` shingles of each, as all rank
+    shingles alike: by holders, then by hash. Shingles that the same members hold, those of one
+    passage, make one key; the key is a digest of the holders.
+    """
+    own = stored(members.select("class", "n", "comp").distinct(), "crowded")
+    # In halves, so that sums of hashes cannot overflow.
+    own_hash = F.xxhash64("class")
+    holders = (F.sum(F.shiftright(own_hash, 32)).alias("high"), F.sum(own_hash.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"))
+    rows = stored(_spread(sets.join(own.select("class"), "class", "left_semi")), "spread")
+    ranked = rows.groupBy("shingle").agg(F.count("*").alias("held"), *holders).filter("held > 1")
+    # Shingles that one member holds are the rarest, and in no link.
+    single = own.join(rows.join(ranked.select("shingle"), "shingle").groupBy("class").agg(F.count("*").alias("shared")), "class")
+    single = single.withColumn("first", F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1 - (F.col("n") - F.col("shared")))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("held", "shingle"))
+    keyed = rows.join(ranked, "shingle").withColumn("place", place).join(single.filter("first > 0"), "class").filter("place <= first")
+    return keyed.select(F.xxhash64("held", "high", "low").alias("key"), "class", "n", "comp").distinct()
+
+
 def _rest(current: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of one bucket in different components, found exactly without forming pairs.
 
-    A bucket is dealt into blocks of about ``BLOCK`` shingles by hash. Blocks meet two by two, each
-    meeting is one row, and products of incidence matrices give all intersections in it.
+    Members of a crowded bucket, one of more than ``FEW_BLOCKS`` blocks, meet under the keys of their
+    rarest shingles instead, which gives the same links and those that the bands missed.
+    """
+    blocks = F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")
+    sized = stored(current.groupBy("key").agg(blocks), "sized")
+    crowded = sized.filter(F.col("blocks") > FEW_BLOCKS).select("key")
+    found = _met(current.join(sized.filter(F.col("blocks") <= FEW_BLOCKS).select("key"), "key"), sets)
+    if crowded.limit(1).count():
+        members = stored(_by_rarest(current.join(crowded, "key"), sets), "rarest")
+        found = found.union(_met(_unsettled(members), sets))
+    return found.distinct()
+
+
+def _met(current: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of one key in different components.
+
+    The members of a key are dealt into blocks of about ``BLOCK`` shingles by hash. Blocks meet two by
+    two, each meeting is one row, and products of incidence matrices give all intersections in it.
     """
     blocks = F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")
     sized = current.groupBy("key").agg(blocks)
@@ -332,7 +361,7 @@ def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         if turn == ROUNDS:
             found = found.union(stored(_rest(current, sets), "links"))
-            comps = components(found)
+            comps = _components(found)
             break
         # The centre is the member that meets most others; in later turns one outside the first centre's component.
         centres = current.groupBy("key").agg(best).select("key", "best.*")
@@ -346,7 +375,7 @@ def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             wanted = possible.select(F.explode(F.array("a", "b")).alias("class")).distinct()
             full = sets if turn else _sets(docs, classes, wanted)
             found = found.union(stored(_confirmed(possible, full), "links"))
-            comps = components(found)
+            comps = _components(found)
     return found, comps
 
 
@@ -359,9 +388,15 @@ def membership(docs: DataFrame) -> DataFrame:
     )
     classes = stored(classes, "classes")
     _, comps = links(docs, classes)
-    named = classes.select("class", "label").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    least = named.groupBy("comp").agg(F.min("label").alias("component_id"))
-    named = named.join(least, "comp").select(F.col("class").alias("_class"), "comp", "component_id")
+    linked = stored(classes.select("class", "label").join(comps, "class"), "linked")
+    least = linked.groupBy("comp").agg(F.min("label").alias("component_id"))
+    linked = looked_up(linked, "comp", least, F.col("class")).select("class", "comp", "component_id")
+    # A class without links is a component of its own.
+    alone = F.col("comp").isNull()
+    named = classes.select("class", "label").join(linked, "class", "left").select(
+        F.col("class").alias("_class"), F.coalesce("comp", "class").alias("comp"),
+        F.when(alone, F.col("label")).otherwise(F.col("component_id")).alias("component_id"),
+    )
     more = [c for c in docs.columns if c != "text"]
     joined = own.drop("sketch").join(named, F.col("class") == F.col("_class"), "left")
     lone = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

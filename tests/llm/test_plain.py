@@ -193,8 +193,11 @@ def test_near_duplicates_as_plain_comparison(docs):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_large_groups_need_all_turns(llm):
+@pytest.mark.parametrize("crowded", [False, True])
+def test_large_groups_need_all_turns(llm, monkeypatch, crowded):
     """Chains and a group around one text, where the centre of a bucket links only some members."""
+    if crowded:  # all last members meet by their rarest shingles
+        monkeypatch.setattr(near_dedup, "FEW_BLOCKS", 0)
     words = prose(50, 120).split()
     rows, k = [], 0
     for step in range(40):
@@ -227,6 +230,27 @@ def test_blocks_find_what_single_pairs_do():
     assert got == want and want
 
 
+def test_a_crowded_bucket_meets_by_rarest_shingles(llm, monkeypatch):
+    """3000 sets with 70 of 100 shingles in common: families of three link, and few others meet."""
+    draw = np.random.default_rng(2)
+    shared = draw.integers(0, 1 << 62, 70)
+    rows, links = [], set()
+    for family in range(1000):
+        own = draw.integers(0, 1 << 62, 28)
+        names = [f"{3 * family + k:08d}".encode() for k in range(3)]
+        for name in names:
+            members = np.unique(np.concatenate([shared, own, draw.integers(0, 1 << 62, 2)])).astype(np.uint64)
+            rows.append((bytearray(name), 100, bytearray(name), bytearray(members.tobytes())))
+        links |= {(names[a], names[b]) for a, b in ((0, 1), (0, 2), (1, 2))}
+    table = llm.createDataFrame(rows, "class binary, n long, comp binary, shingles binary")
+    sets = near_dedup.stored(table.select("class", "shingles"), "sets")
+    current = near_dedup.stored(table.select(F.lit(1).cast("long").alias("key"), "class", "n", F.lit(0).cast("long").alias("lone"), "comp"), "current")
+    monkeypatch.setattr(near_dedup, "BLOCK", 20_000)
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in near_dedup._rest(current, sets).collect()} == links
+    keys = near_dedup._by_rarest(current, sets).groupBy("key").count().collect()
+    assert sum(r["count"] * (r["count"] - 1) // 2 for r in keys) < 10 * len(links)
+
+
 def test_deduplicated_keeps_one_of_each_and_all_columns(docs):
     got = near_dedup.deduplicated(docs)
     assert got.columns == docs.columns
