@@ -297,10 +297,13 @@ def _met(current: DataFrame, sets: DataFrame) -> DataFrame:
     sized = current.groupBy("key").agg(blocks)
     dealt = current.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     member = F.struct("class", "comp", "shingles")
-    dealt = dealt.join(sets, "class").groupBy("key", "block").agg(F.collect_list(member).alias("members"))
+    dealt = dealt.join(sets, "class").groupBy("key", "block", "blocks").agg(F.collect_list(member).alias("members"))
     dealt = stored(dealt, "blocks")
+    # A block without others meets itself where it lies.
+    single = dealt.filter("blocks = 1").select(F.col("members").alias("a"), F.col("members").alias("b"))
+    dealt = dealt.filter("blocks > 1")
     other = dealt.select("key", F.col("block").alias("block_b"), F.col("members").alias("b"))
-    meetings = dealt.join(other, "key").filter("block <= block_b").select(F.col("members").alias("a"), "b")
+    meetings = dealt.join(other, "key").filter("block <= block_b").select(F.col("members").alias("a"), "b").union(single)
 
     def meet(left: pa.Array, right: pa.Array) -> pa.Array:
         rows = []
@@ -397,6 +400,8 @@ def membership(docs: DataFrame) -> DataFrame:
         F.col("class").alias("_class"), F.coalesce("comp", "class").alias("comp"),
         F.when(alone, F.col("label")).otherwise(F.col("component_id")).alias("component_id"),
     )
+    # Stored, so that a class with most of all documents can be split where they look it up.
+    named = stored(named, "named")
     more = [c for c in docs.columns if c != "text"]
     joined = own.drop("sketch").join(named, F.col("class") == F.col("_class"), "left")
     lone = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
