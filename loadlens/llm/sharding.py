@@ -2,7 +2,8 @@
 
 Pass one scatters rows by a seeded hash into buckets small enough for memory and stores them. Pass
 two reads each bucket whole, shuffles it in place (``shuffle`` is a Fisher-Yates shuffle) and lays
-the buckets end to end, which makes a uniform order of all rows. Shards are equal cuts of that order.
+the buckets end to end, which makes a uniform order of all rows. Shards are equal cuts of that order,
+written whole as files. The registered query writes all documents so and reads its rows from the files.
 
 Law ``rows``: counts of shards differ by one at most. Null ids, empty and null texts, repeated rows
 and rows with one key are rows like all others: the scatter hash takes in the row's place in its
@@ -13,11 +14,13 @@ the input are kept; a column with the name of a new one (``shard``, ``slot``) is
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from loadlens.llm.common import stored
+from loadlens.llm.common import shared_folder, stored
 
 SHARDS = 40
 SEED = 20
@@ -26,14 +29,14 @@ ROW_BYTES = 16
 
 
 def shuffled(
-    rows: DataFrame, size: str, *, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED
+    rows: DataFrame, size: Column | str, *, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED
 ) -> DataFrame:
     """All rows with ``shard`` (0 to ``shards`` - 1) and ``slot``, the gapless place in the shard.
 
-    ``size`` names a column with the bytes of a row, from which the number of buckets follows.
+    ``size`` is the bytes of a row, or names a column with them, from which the number of buckets follows.
     """
     columns = [c for c in rows.columns if c not in ("shard", "slot")]
-    kept = rows.select(F.struct(*columns).alias("row"), F.col(size).alias("size"))
+    kept = rows.select(F.struct(*columns).alias("row"), (F.col(size) if isinstance(size, str) else size).alias("size"))
     kept = stored(kept.withColumn("place", F.monotonically_increasing_id()), "scatter")
     total = kept.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     buckets = max(shards, math.ceil(total[0] / bucket_bytes))
@@ -44,8 +47,9 @@ def shuffled(
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
-    # A bucket is bounded by its size. Sorted first, so that its shuffle gives the same order in a second attempt.
-    width = max(shards, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # A bucket is bounded by its size, and a task holds about one at most. Sorted first, so that its
+    # shuffle gives the same order in a second attempt.
+    width = max(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     filled = (
         scattered.repartition(width, "bucket")
         .groupBy("bucket")
@@ -63,26 +67,29 @@ def shuffled(
     return at.select(*columns, F.col("__shard").alias("shard"), F.col("__slot").cast("long").alias("slot"))
 
 
-def write_shards(rows: DataFrame, path: str, size: str, **options) -> None:
+def write_shards(rows: DataFrame, path: str, size: Column | str, **options) -> None:
     """Write all rows by shard, straight from their buckets.
 
     Buckets lie end to end in the shards, so a task writes its buckets without another exchange, each
     file in the order of its slots. A shard is read in order by sorting its files' rows by ``slot``.
     """
     done = shuffled(rows, size, **options).sortWithinPartitions("shard", "slot")
-    done.write.partitionBy("shard").parquet(path)
+    done.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def read_shards(rows: DataFrame, path: str) -> DataFrame:
+    """What ``write_shards`` wrote of ``rows`` to a folder."""
+    own = [f for f in rows.schema if f.name not in ("shard", "slot")]
+    schema = StructType(own).add("slot", "long").add("shard", "integer")
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """The shards of all documents, in the columns of the contract."""
-    raw = F.col("text").cast("binary")
-    light = docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"),
-    )
-    done = shuffled(light, "size")
-    return done.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
+    """Shards of all documents, written whole to the shared folder; their rows in the columns of the contract."""
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long")
+    path = f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    write_shards(docs, path, size)
+    return read_shards(docs, path).select(
+        "doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )

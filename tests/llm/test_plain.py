@@ -53,6 +53,18 @@ def test_shards_keep_columns_order_changes_with_seed(docs, tmp_path):
     assert docs.sparkSession.read.parquet(str(tmp_path / "shards")).count() == own.count()
 
 
+def test_placed_rows_are_those_of_whole_written_shards(docs, monkeypatch):
+    paths, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda rows, path, size: (paths.append(path), write(rows, path, size)))
+    got = sharding.placed(docs).collect()
+    files = docs.sparkSession.read.parquet(*paths)
+    assert set(files.columns) == set(docs.columns)
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    assert Counter(files.select(kept).collect()) == Counter(docs.select(kept).collect())
+    written = [(r["shard"], r["slot"], r["doc_id"], zlib.crc32((r["text"] or "").encode())) for r in files.collect()]
+    assert Counter(written) == Counter((r["shard"], r["slot"], r["doc_id"], r["text_crc32"]) for r in got)
+
+
 def test_rules_count_as_a_plain_loop_does(docs):
     def plain(text):
         words = WORD.findall(text or "")
