@@ -4,9 +4,7 @@ Every document is cut into windows of words. Windows and benchmark items are TF-
 words of the items; words of more than ``MAX_SHARE`` of all windows weigh nothing, but each item
 keeps its rarest words. A randomised SVD of the matrix of all windows and items gives the latent
 space: the product of the matrix, its transpose and random columns is added up over the cluster in
-whole numbers, and its left singular vectors are the basis. The matrix has the windows of about
-``BASIS_ROWS`` documents, those with the lowest hashes, and all items; the windows of all documents
-are projected and searched. Items weigh as much as the windows
+whole numbers, and its left singular vectors are the basis. Items weigh as much as the windows
 together and there are more dimensions than items in a block, so the space keeps every item apart.
 A window whose projection is close to an item (cosine against the whole window) is a candidate.
 
@@ -56,8 +54,6 @@ RAREST = 4
 #: Passages searched at once, and dimensions of their space beyond their number.
 BLOCK = 256
 EXTRA = 32
-#: Documents that the basis is fitted on, about; all are searched.
-BASIS_ROWS = 20_000
 COSINE = 0.30
 COPIED = 0.75
 RETOLD = 0.55
@@ -228,6 +224,20 @@ def _window_rows(terms: np.ndarray, halves: np.ndarray, weight: np.ndarray) -> t
     return keys // len(weight), own, counts * weight[own]
 
 
+def _add_products(out: np.ndarray, rows: np.ndarray, to: np.ndarray, of: np.ndarray, by: np.ndarray) -> None:
+    """Add to the rows ``to`` (sorted) of ``out`` the rows ``of`` of ``rows`` times ``by``."""
+    starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    sizes = np.diff(np.append(starts, len(to)))
+    # Sums of equal length together, as many as stay in the cache.
+    for size in np.unique(sizes):
+        first = starts[sizes == size]
+        step = max(1, 1000 // size)
+        for at in range(0, len(first), step):
+            own = first[at : at + step]
+            parts = own[:, None] + np.arange(size)
+            out[to[own]] += np.matmul(by[parts][:, None, :], rows[of[parts]])[:, 0]
+
+
 def _basis(hits: DataFrame, block: list[Passage], weight: np.ndarray) -> np.ndarray:
     """The latent space of all windows and a block of passages: one column a dimension."""
     n, size = len(weight), len(block) + EXTRA
@@ -235,20 +245,23 @@ def _basis(hits: DataFrame, block: list[Passage], weight: np.ndarray) -> np.ndar
     telling = np.flatnonzero(weight)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, size), np.int64)
+        product = np.zeros((n, size))
         for batch in batches:
             terms, halves, _ = _halves(batch)
             window, own, value = _window_rows(terms, halves // 2, weight)
-            for at in range(0, len(own), 20_000):
-                w, t, v = window[at : at + 20_000], own[at : at + 20_000], value[at : at + 20_000]
-                ids, squares = _sums(v**2, w)
-                place = np.searchsorted(ids, w)
-                v = (v / np.sqrt(squares[place])).astype(np.float32)
-                _, z = _sums(random[t] * v[:, None], w)
-                back = z[place] * v[:, None]
+            at = 0
+            while at < len(own):
+                # Windows stay whole.
+                upto = int(np.searchsorted(window, window[min(at + 50_000, len(own) - 1)], side="right"))
+                t, v = own[at:upto], value[at:upto]
+                place = np.cumsum(np.diff(window[at:upto], prepend=window[at]) > 0)
+                v = (v / np.sqrt(np.bincount(place, v**2))[place]).astype(np.float32)
+                z = np.zeros((place[-1] + 1, size), np.float32)
+                _add_products(z, random, place, t, v)
                 order = np.argsort(t, kind="stable")
-                which, sums = _sums(back[order], t[order])
-                total[which] += np.rint(sums * _SCALE).astype(np.int64)
+                _add_products(product, z, t[order], place[order], v[order])
+                at = upto
+        total = np.rint(product * _SCALE).astype(np.int64)
         used = telling[total[telling].any(axis=1)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(used.astype(np.int64)), *(pa.array(total[used, i]) for i in range(size))],
@@ -492,10 +505,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = passages_of(items)
     weight = _weights(parts, frequency, windows)
     found = None
-    share = min(1.0, BASIS_ROWS / max(1, hits.count()))
-    fitted = hits.filter(F.pmod(F.xxhash64("digest", "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     for block in _blocks(parts):
-        part = _search(hits, items, block, weight, frequency, _basis(fitted, block, weight))
+        part = _search(hits, items, block, weight, frequency, _basis(hits, block, weight))
         found = part if found is None else found.union(part)
     return found
 
