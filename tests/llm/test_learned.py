@@ -53,6 +53,38 @@ def test_labels_of_the_held_out_fold_teach_nothing(llm, module, label, folds, ou
     assert scores[0] == scores[1]
 
 
+def test_every_labelled_row_trains_the_quality_classifier(llm, monkeypatch):
+    docs, labels = labelled(llm, 400)
+    train, sizes = quality_classifier.train, []
+    monkeypatch.setattr("loadlens.llm.labelled.SAMPLE", 20)
+    monkeypatch.setattr(quality_classifier, "train", lambda x, y, c: (sizes.append(len(x)), train(x, y, c))[1])
+    model = quality_classifier.fit(docs, labels)
+    assert sizes == [sum(in_fold(i, 4) != 2 for i in range(400))] and model.network
+    # The same rows in groups, none of them on the driver.
+    monkeypatch.setattr(quality_classifier, "TOGETHER", 60)
+    got = {r["doc_id"]: r for r in quality_classifier.scored(docs, labels).collect()}
+    again = {r["doc_id"]: r for r in quality_classifier.scored(docs.repartition(5), labels).collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    assert len(sizes) == 1
+    assert all(abs(r["score"] - again[i]["score"]) < 1e-9 for i, r in got.items())
+    assert np.mean([r["predicted"] == truth[i] for i, r in got.items() if r["held_out"]]) >= 0.95
+
+
+def test_the_basis_is_fitted_on_all_windows(llm, monkeypatch):
+    items, frame = benchmark(llm)
+    docs = llm.createDataFrame([(i, prose(700 + i, 50) + " " + items[0][1]) for i in range(60)], "doc_id long, text string")
+    basis, rows = decontamination._basis, []
+    monkeypatch.setattr(decontamination, "BASIS_ROWS", 5, raising=False)
+    monkeypatch.setattr(decontamination, "_basis", lambda hits, *rest: (rows.append(hits.count()), basis(hits, *rest))[1])
+    assert decontamination.contaminated(docs, frame).count() >= 60
+    assert set(rows) == {60}
+    draw = np.random.default_rng(1)
+    to, of = np.sort(draw.integers(0, 9, 2500)), draw.integers(0, 30, 2500)
+    by, table, out = draw.random(2500).astype(np.float32), draw.random((30, 4)).astype(np.float32), np.zeros((9, 4))
+    decontamination._add_products(out, table, to, of, by)
+    assert np.allclose(out, [(table[of[to == k]] * by[to == k, None]).sum(axis=0) for k in range(9)], rtol=1e-4)
+
+
 @pytest.mark.parametrize("module", [quality_classifier, toxicity])
 def test_odd_cases_and_missing_labels(docs, none, llm, module):
     few = llm.createDataFrame([(0, 1, 0), (1, None, None), (None, 1, 1)], LABELS)
