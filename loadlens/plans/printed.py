@@ -2,7 +2,8 @@
 
 The header lines of a plan hang on its first step (id 0). They are made by exploding a literal list
 of line kinds in place, so no join or second read of the plan rows is needed. Lines are printed
-before they are sorted, so the sort moves finished text only.
+before they are sorted, so the sort moves finished text only. What a header is made of crosses the
+joins as numbers and is printed behind them, on first steps alone.
 """
 
 from __future__ import annotations
@@ -63,6 +64,20 @@ def _step_id(step: str) -> Column:
     return F.when(~_is_header(), F.col(step)).alias("id")
 
 
+_TOTALS = [
+    "delta_execution_count",
+    "delta_elapsed_time",
+    "delta_cpu_time",
+    "delta_user_io_wait_time",
+    "delta_concurrency_time",
+    "avg_hard_parse_time",
+    "delta_disk_reads",
+    "delta_buffer_gets",
+    "delta_rows_processed",
+    "delta_px_servers_executions",
+]
+
+
 def plan_monitor_report(
     tables: Tables,
     *,
@@ -83,12 +98,15 @@ def plan_monitor_report(
     ):
         steps = steps if value is None else steps.where(F.col(column) == value)
 
+    def of(counter: str) -> Column:
+        return F.col(f"totals.{counter}")
+
     def seconds(counter: str) -> Column:
-        return grouped_text(half_up(F.col(counter), scale=_MICRO // 100))
+        return grouped_text(half_up(of(counter), scale=_MICRO // 100))
 
     totals = text_cat(
         "SQLSTAT: , e = ",
-        F.col("delta_execution_count"),
+        of("delta_execution_count"),
         ", ela = ",
         seconds("delta_elapsed_time"),
         ", cpu = ",
@@ -100,16 +118,16 @@ def plan_monitor_report(
         ", parse = ",
         seconds("avg_hard_parse_time"),
         ", disk = ",
-        F.col("delta_disk_reads"),
+        of("delta_disk_reads"),
         ", lio = ",
-        F.col("delta_buffer_gets"),
+        of("delta_buffer_gets"),
         ", r = ",
-        F.col("delta_rows_processed"),
+        of("delta_rows_processed"),
         ", px = ",
-        F.col("delta_px_servers_executions"),
+        of("delta_px_servers_executions"),
     )
     stats = tables["sqlstats_delta"].select(
-        "sql_id", F.col("plan_hash_value").alias("sql_plan_hash_value"), totals.alias("totals")
+        "sql_id", F.col("plan_hash_value").alias("sql_plan_hash_value"), F.struct(*_TOTALS).alias("totals")
     )
     title = text_cat(
         "SQL_ID = ",
@@ -129,7 +147,7 @@ def plan_monitor_report(
             "line_pos",
             _step_id("plan_line_id"),
             F.when(_is_header() & (F.col("line_pos") == 0), title)
-            .when(_is_header(), F.col("totals"))
+            .when(_is_header(), F.when(F.col("totals").isNotNull(), totals))
             .otherwise(_step_text("plan_", optimizer=False))
             .alias("sqlplan"),
             "starts",
@@ -145,11 +163,27 @@ def plan_monitor_report(
     )
 
 
+_COUNTERS = [
+    "executions",
+    "elapsed_time",
+    "cpu_time",
+    "user_io_wait_time",
+    "disk_reads",
+    "buffer_gets",
+    "rows_processed",
+]
+
+
 def _cursor_header(*, child: bool) -> Column:
+    """The header of a cursor, printed from its key and ``counters``."""
+
+    def of(counter: str) -> Column:
+        return F.col(f"counters.{counter}")
+
     def seconds(counter: str) -> Column:
-        return number_text(half_up(F.col(counter), scale=_MICRO // 100))
+        return number_text(half_up(of(counter), scale=_MICRO // 100))
 
-    own = [", cn = ", F.col("child_number"), ", e = ", F.col("executions")] if child else []
+    own = [", cn = ", F.col("child_number"), ", e = ", of("executions")] if child else []
     return text_cat(
         "SQL_ID = ",
         F.col("sql_id"),
@@ -163,35 +197,27 @@ def _cursor_header(*, child: bool) -> Column:
         ", io = ",
         seconds("user_io_wait_time"),
         ", disk = ",
-        F.col("disk_reads"),
+        of("disk_reads"),
         ", lio = ",
-        F.col("buffer_gets"),
+        of("buffer_gets"),
         ", r = ",
-        F.col("rows_processed"),
+        of("rows_processed"),
     )
 
 
 _PLAN_KEY = ["sql_id", "plan_hash_value"]
 
 
-def _cursors(tables: Tables, sql_ids: Iterable[str] | None, *, child: bool) -> DataFrame:
-    header = _cursor_header(child=child).alias("header")
-    return only(tables["sql_area"], "sql_id", sql_ids).select(*_PLAN_KEY, "child_number", header)
-
-
-def _printed_step() -> Column:
-    return (
-        F.when(_is_header(), F.col("header"))
-        .otherwise(_step_text(optimizer=True))
-        .alias("sqlplan")
-    )
+def _cursors(tables: Tables, sql_ids: Iterable[str] | None) -> DataFrame:
+    cursors = only(tables["sql_area"], "sql_id", sql_ids)
+    return cursors.select(*_PLAN_KEY, "child_number", F.struct(*_COUNTERS).alias("counters"))
 
 
 def plan_tree(
     tables: Tables, *, sql_ids: Iterable[str] | None = None, child_number: int = 0
 ) -> DataFrame:
     """Printed plans of cursors: one header with the cursor's totals, then one line per step."""
-    cursors = _cursors(tables, sql_ids, child=True).where(F.col("child_number") == child_number)
+    cursors = _cursors(tables, sql_ids).where(F.col("child_number") == child_number)
     steps = cursors.join(only(tables["plan_line"], "sql_id", sql_ids), _PLAN_KEY)
     return (
         _explode_lines(steps, [0, 1], "id")
@@ -200,7 +226,7 @@ def plan_tree(
             F.col("id").alias("step"),
             "line_pos",
             _step_id("id"),
-            _printed_step(),
+            F.when(_is_header(), _cursor_header(child=True)).otherwise(_step_text(optimizer=True)).alias("sqlplan"),
             "access_predicates",
             "filter_predicates",
         )
@@ -240,7 +266,15 @@ def plan_tree_with_actuals(
     idle = lines.select(*step).distinct().join(actuals.select(*step).distinct(), step, "left_anti")
     found = actuals.unionByName(idle, allowMissingColumns=True)
     found = found.withColumnsRenamed({name: f"_{name}" for name in step})
-    steps = _cursors(tables, sql_ids, child=False).join(lines, _PLAN_KEY)
+    steps = _cursors(tables, sql_ids).join(lines, _PLAN_KEY)
+    steps = steps.select(
+        *step,
+        _step_text(optimizer=True).alias("text"),
+        F.when(F.col("id") <= 0, _cursor_header(child=False)).alias("header"),
+        "access_predicates",
+        "filter_predicates",
+        "projection",
+    )
     same_step = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in step]
     rows = steps.join(found, same_step).drop(*[f"_{name}" for name in step])
     return (
@@ -251,7 +285,7 @@ def plan_tree_with_actuals(
             F.col("id").alias("step"),
             "line_pos",
             _step_id("id"),
-            _printed_step(),
+            F.when(_is_header(), F.col("header")).otherwise(F.col("text")).alias("sqlplan"),
             "starts",
             "output_rows",
             "rwreq",

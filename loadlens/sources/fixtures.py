@@ -235,10 +235,12 @@ def sqlstats_delta(t: Telemetry) -> DataFrame:
 
 @_view
 def plan_line(t: Telemetry) -> DataFrame:
-    return t.given("lineitem").selectExpr(
-        "concat('s', l_orderkey) as sql_id",
-        "1000 + l_orderkey % 9973 as plan_hash_value",
-        "cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, "
+    # Numbered within the plan's own key, so that a join on it needs no exchange of its own.
+    keys = ("concat('s', l_orderkey) as sql_id", "1000 + l_orderkey % 9973 as plan_hash_value")
+    return t.given("lineitem").selectExpr(*keys, "*").selectExpr(
+        "sql_id",
+        "plan_hash_value",
+        "cast(row_number() over (partition by sql_id, plan_hash_value order by l_linenumber, l_partkey, "
         "l_suppkey, l_extendedprice, l_shipdate) - 1 as int) as id",
         "l_linenumber % 4 as depth",
         "concat('OP_', l_returnflag) as operation",
