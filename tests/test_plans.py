@@ -74,6 +74,15 @@ def test_cursors_meet_their_steps_once(spark):
     assert plan.count("Inner") == 2 and plan.count("LeftAnti") == 1 and "LeftOuter" not in plan
 
 
+def test_headers_are_printed_behind_the_joins(spark):
+    for name in ("plan_tree", "plan_monitor_report"):
+        plan = initial_plan(entry_point.queries()[name](spark, SF_DIR))
+        # Plan rows and what their headers are made of meet once, and are numbered in the same place.
+        assert plan.count("Exchange hashpartitioning") == 2
+        below = plan[plan.index("SortMergeJoin") :]
+        assert ", ela = " not in below and ", lio = " not in below
+
+
 def test_one_plan_row_per_statement_reads_the_fact_once(spark):
     plan = initial_plan(entry_point.queries()["multi_plan_queries"](spark, SF_DIR))
     assert len(re.findall(r"FileScan parquet \[event_id", plan)) == 1
