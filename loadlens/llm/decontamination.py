@@ -65,6 +65,8 @@ MAX_CHARS = 64 << 20
 _SCALE = 1 << 16
 #: Half windows whose words in common are counted at once.
 STRIPE = 2048
+#: Stretches whose words in common are counted in full at once.
+TOGETHER = 4096
 
 #: Letters, digits and bytes of other scripts are words.
 _LETTERS = np.zeros(256, np.uint8)
@@ -138,15 +140,20 @@ def _hits(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Most words are in no item: a table by their lower bits says so at once.
-        seen = np.zeros(1 << 20, bool)
+        seen, slot = np.zeros(1 << 20, bool), np.zeros(1 << 20, np.int32)
         mask = np.uint64(len(seen) - 1)
         seen[words & mask] = True
+        slot[words & mask] = np.arange(len(words))
         for batch in batches:
             own, bounds = _words(batch.column(2).to_pylist())
-            maybe = np.flatnonzero(seen[own & mask])
-            terms = np.searchsorted(words, own[maybe])
-            real = words[np.minimum(terms, len(words) - 1)] == own[maybe]
-            terms, places = terms[real].astype(np.int32), maybe[real]
+            low = own & mask
+            maybe = np.flatnonzero(seen[low])
+            own, terms = own[maybe], slot[low[maybe]]
+            # Where words share their lower bits, only one of them is in the table.
+            other = np.flatnonzero(words[terms] != own)
+            terms[other] = np.minimum(np.searchsorted(words, own[other]), len(words) - 1)
+            real = words[terms] == own
+            terms, places = terms[real], maybe[real]
             cuts = np.searchsorted(places, bounds)
             pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
             local = [(places[a:b] - bounds[i]).astype(np.int32).tobytes() for i, (a, b) in enumerate(pairs)]
@@ -163,21 +170,19 @@ def _hits(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
 def _halves(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Terms of a batch, the half window of each (numbered over the batch), and the rows of half windows."""
-    terms, places, lengths = [], [], []
-    for t, p in zip(batch.column("terms").to_pylist(), batch.column("places").to_pylist(), strict=True):
-        terms.append(np.frombuffer(t, np.int32))
-        places.append(np.frombuffer(p, np.int32) // HALF)
-        lengths.append(int(places[-1][-1]) + 2 if len(places[-1]) else 0)  # the last one is empty
-    first = np.cumsum([0, *lengths])
-    halves = [p + first[i] for i, p in enumerate(places)]
-    joined = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in (terms, halves)]
-    return joined[0], joined[1].astype(np.int64), first
+    rows = batch.column("terms").to_pylist()
+    counts = np.array([len(row) // 4 for row in rows], np.int64)
+    terms = np.frombuffer(b"".join(rows), np.int32)
+    halves = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.int32) // HALF
+    lengths, full = np.zeros(len(rows), np.int64), counts > 0
+    lengths[full] = halves[np.cumsum(counts)[full] - 1] + 2  # the last one is empty
+    first = np.append(0, np.cumsum(lengths))
+    return terms, halves + np.repeat(first[:-1], counts), first
 
 
-def _sums(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Groups (sorted) and the sums of their rows."""
-    starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-    return groups[starts], np.add.reduceat(values, starts, axis=0)
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a value for the first time."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
 def _frequencies(hits: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -187,9 +192,9 @@ def _frequencies(hits: DataFrame, n: int) -> tuple[np.ndarray, int]:
         total, windows = np.zeros(n, np.int64), 0
         for batch in batches:
             terms, halves, _ = _halves(batch)
-            keys = np.unique((halves // 2) * n + terms, sorted=False)
-            total += np.bincount(keys % n, minlength=n)
-            windows += len(np.unique(halves // 2))
+            keys = np.sort((halves // 2) * n + terms)
+            total += np.bincount(keys[_changes(keys)] % n, minlength=n)
+            windows += len(_changes(halves // 2))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(used, -1)), pa.array(np.append(total[used], windows))], names=["term", "n"]
@@ -226,7 +231,7 @@ def _window_rows(terms: np.ndarray, halves: np.ndarray, weight: np.ndarray) -> t
 
 def _add_products(out: np.ndarray, rows: np.ndarray, to: np.ndarray, of: np.ndarray, by: np.ndarray) -> None:
     """Add to the rows ``to`` (sorted) of ``out`` the rows ``of`` of ``rows`` times ``by``."""
-    starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    starts = _changes(to)
     sizes = np.diff(np.append(starts, len(to)))
     # Sums of equal length together, as many as stay in the cache.
     for size in np.unique(sizes):
@@ -304,7 +309,8 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 def verdict(item: np.ndarray, region: np.ndarray) -> tuple[int, str | None]:
     """Words of the item in common with a region, and ``copy`` or ``paraphrase`` if it is a leak."""
     # The common subsequence has no more than the words in common, and no more than the region.
-    size = min(len(region), int(np.isin(item, region).sum()) if len(region) >= RETOLD * len(item) else 0)
+    held = set(region.tolist()) if len(region) >= RETOLD * len(item) else ()
+    size = min(len(region), sum(x in held for x in item.tolist()))
     if size < RETOLD * len(item):
         return size, None
     size = common_subsequence(item, region)
@@ -327,15 +333,17 @@ class _Common:
         self.retold, self.copied = (np.ceil(share * sizes - 1e-9).astype(int) for share in (RETOLD, COPIED))
         #: The answer is looked for here only where the passage is the whole item.
         self.answer = np.where([part.whole for part in block], np.minimum(sizes, ANSWER) - 1, 0)
-        self.words = [np.unique(t, return_counts=True) for t in own]
-        self.last = [np.unique(t[-ANSWER:], return_counts=True) for t in own]
+        self.n = len(frequency)
+        self.words = _times(own, self.n)
+        self.last = _times([t[-ANSWER:] for t in own], self.n)
         rare, self.least = [], self.retold.copy()
-        for i, (terms, times) in enumerate(self.words):
+        for i, t in enumerate(own):
+            terms, times = np.unique(t, return_counts=True)
             # The most frequent words whose number is within the share; a leak may have them all.
             order = np.argsort(-frequency[terms], kind="stable")
             left_out = order[: int(np.searchsorted(np.cumsum(times[order]), FREQUENT * sizes[i], side="right"))]
             self.least[i] -= times[left_out].sum()
-            rare.append(own[i][~np.isin(own[i], terms[left_out])])
+            rare.append(t[~np.isin(t, terms[left_out])])
         self.rare = _lists(rare, len(frequency))
 
     def stretches(self, terms: np.ndarray, halves: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -355,24 +363,38 @@ class _Common:
             if a == b:
                 continue
             own = terms[a:b], halves[a:b], rank[a:b], sorted_halves, begin, base, self.spans
-            at, i = np.nonzero(_counted(*own, self.rare) >= self.least)
+            at, i = np.divmod(np.flatnonzero(_counted(*own, self.rare) >= self.least), len(self.spans))
             at += base
             starts, ends = np.searchsorted(halves, at), np.searchsorted(halves, at + self.spans[i])
-            for first, k, x, y in zip(at.tolist(), i.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                held = terms[x:y]
-                if len(held) < self.retold[k]:
-                    continue
-                common = _common_words(held, *self.words[k])
-                if common < self.retold[k]:
-                    continue
-                if common >= self.copied[k] or _common_words(held, *self.last[k]) >= self.answer[k]:
-                    yield first, int(self.spans[k]), k, common
+            enough = np.flatnonzero(ends - starts >= self.retold[i])
+            for few in np.split(enough, range(TOGETHER, len(enough), TOGETHER)):
+                k, x, y = i[few], starts[few], ends[few]
+                common = _common_words(terms, x, y, k, self.words, self.n)
+                real = common >= self.copied[k]
+                rest = np.flatnonzero(~real & (common >= self.retold[k]))
+                real[rest] = _common_words(terms, x[rest], y[rest], k[rest], self.last, self.n) >= self.answer[k[rest]]
+                yield from zip(at[few][real].tolist(), self.spans[k[real]].tolist(), k[real].tolist(), common[real].tolist(), strict=True)
+
 
+def _times(own: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of each passage, numbered on by ``n`` a passage, and how often it has them."""
+    return np.unique(np.concatenate([t.astype(np.int64) + i * n for i, t in enumerate(own)]), return_counts=True)
 
-def _common_words(held: np.ndarray, terms: np.ndarray, times: np.ndarray) -> int:
-    """Words in common of a stretch and the distinct ``terms`` (sorted), each of which counts ``times`` at most."""
-    place = np.minimum(np.searchsorted(terms, held), len(terms) - 1)
-    return int(np.minimum(np.bincount(place[terms[place] == held], minlength=len(terms)), times).sum())
+
+def _common_words(
+    terms: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray, held: tuple[np.ndarray, np.ndarray], n: int
+) -> np.ndarray:
+    """Words in common of each stretch of ``terms`` and a passage; a word counts as often as both have it."""
+    sizes = ends - starts
+    stretch = np.repeat(np.arange(len(which)), sizes)
+    place = np.arange(len(stretch)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    keys = np.repeat(which.astype(np.int64) * n, sizes) + terms[place]
+    known, times = held
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    real = known[at] == keys
+    found, counts = np.unique(stretch[real] * len(known) + at[real], return_counts=True)
+    stretch, at = np.divmod(found, len(known))
+    return np.bincount(stretch, np.minimum(counts, times[at]), len(which)).astype(np.int64)
 
 
 def _lists(own: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -413,6 +435,7 @@ def _search(
     scores = basis @ (np.stack([_item_row(part.terms, weight) for part in block]).astype(np.float32) @ basis).T
     own = {part.item: items.terms[part.item] for part in block}
     ids = {i: items.ids[i] for i in own}
+    item_of = np.array([part.item for part in block])
     shared = _Common(block, frequency)
 
     def leaks(terms: np.ndarray, places: np.ndarray, found: list[tuple[int, int, int, int]]) -> Iterator[tuple]:
@@ -441,8 +464,7 @@ def _search(
                 span = int(h[-1] - base) + 2
                 # Windows are two halves; a term in both counts with both, so its square has a cross part.
                 z = np.zeros((span, len(block)), np.float32)
-                which, sums = _sums(scores[t] * v[:, None].astype(np.float32), h - base)
-                z[which] = sums
+                _add_products(z, scores, h - base, t, v.astype(np.float32))
                 squares = np.bincount(h - base, v**2, span)
                 keys = (h - base) * len(weight) + t
                 nxt = np.searchsorted(keys, keys + len(weight))
@@ -451,12 +473,13 @@ def _search(
                 z[:-1] += z[1:]
                 norms = squares + cross
                 norms[:-1] += squares[1:]
-                close = np.argwhere(z >= COSINE * np.sqrt(np.maximum(norms, 1e-12))[:, None])
-                rows = np.searchsorted(first, close[:, 0] + base, side="right") - 1
-                for r, (w, i) in zip(rows, close, strict=True):
-                    start, item = int(w + base - first[r]) * HALF, block[i].item
+                least = (COSINE * np.sqrt(np.maximum(norms, 1e-12))).astype(np.float32)
+                window, i = np.divmod(np.flatnonzero(z >= least[:, None]), len(block))
+                rows = np.searchsorted(first, window + base, side="right") - 1
+                begin = (window + base - first[rows]) * HALF
+                for r, start, item in zip(rows.tolist(), begin.tolist(), item_of[i].tolist(), strict=True):
                     reach = len(own[item])
-                    found.setdefault(int(r), []).append((start - reach, start + 2 * HALF + reach, item, reach))
+                    found.setdefault(r, []).append((start - reach, start + 2 * HALF + reach, item, reach))
             for at, span, i, most in stretches:
                 # A stretch may reach over several short texts.
                 upto = int(np.searchsorted(first, at + span))

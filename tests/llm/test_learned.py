@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -231,6 +232,46 @@ def test_copies_of_long_items(llm, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"], r["common_words"], r["kind"]) for r in got) == [(i, i, n, "copy") for i, n in sizes.items()]
 
 
+def test_stretches_as_plain_counts(monkeypatch):
+    """Stretches with enough words in common, counted many at a time."""
+    draw = np.random.default_rng(6)
+    own = [draw.integers(0, 80, int(n)) for n in draw.integers(3, 40, 9)]
+    parts = [decontamination.Passage(i, t.astype(np.int32), i % 2 == 0) for i, t in enumerate(own)]
+    terms = np.concatenate([x for t in own for x in (draw.integers(0, 80, 150), t, t[: len(t) * 2 // 3])]).astype(np.int32)
+    halves = np.sort(draw.integers(0, len(terms) // 15, len(terms)))
+    shared = decontamination._Common(parts, np.bincount(terms, minlength=80))
+    want = []
+    for i, t in enumerate(own):
+        n, least = int(shared.spans[i]), np.ceil(np.array([0.55, 0.75]) * len(t) - 1e-9)
+        for at in range(int(halves[0] - n + 1), int(halves[-1]) + 1):
+            held = Counter(terms[(halves >= at) & (halves < at + n)].tolist())
+            common, last = ((held & Counter(x.tolist())).total() for x in (t, t[-5:]))
+            if common >= least[1] or common >= least[0] and last >= (min(len(t), 5) - 1 if i % 2 == 0 else 0):
+                want.append((at, n, i, common))
+    calls, count = [], decontamination._common_words
+    monkeypatch.setattr(decontamination, "_common_words", lambda *a: (calls.append(1), count(*a))[1])
+    assert sorted(shared.stretches(terms, halves)) == sorted(want) and len(want) > 50
+    assert len(calls) <= 2
+    monkeypatch.setattr(decontamination, "TOGETHER", 7, raising=False)
+    assert sorted(shared.stretches(terms, halves)) == sorted(want)
+
+
+def test_hits_of_words_that_share_bits(llm):
+    texts = [f"w{k}" for k in range(6000)]
+    words, _ = decontamination._words([" ".join(texts)])
+    order = np.argsort(words & np.uint64((1 << 20) - 1))
+    low = (words & np.uint64((1 << 20) - 1))[order]
+    pairs = np.flatnonzero(low[1:] == low[:-1])
+    assert len(pairs) >= 4
+    # Of a pair that shares its lower bits both words are known, or one of them.
+    chosen = sorted({int(order[p + j]) for k, p in enumerate(pairs) for j in range(2 if k % 2 else 1)})
+    known = np.unique(words[chosen])
+    docs = llm.createDataFrame([(1, " ".join(texts)), (2, ""), (3, None), (4, texts[chosen[0]])], "doc_id long, text string")
+    got = {r["doc_id"]: [np.frombuffer(r[c], np.int32).tolist() for c in ("terms", "places")] for r in decontamination._hits(docs, known).collect()}
+    assert got[1] == [np.searchsorted(known, words[chosen]).tolist(), chosen]
+    assert got[2] == got[3] == [[], []] and got[4] == [[int(np.searchsorted(known, words[chosen[0]]))], [0]]
+
+
 def test_common_subsequence_as_table():
     draw = np.random.default_rng(3)
     for _ in range(50):
