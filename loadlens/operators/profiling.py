@@ -143,7 +143,7 @@ def _profile_one(
             "num_distinct", F.coalesce("num_distinct", F.lit(0).cast("bigint"))
         )
     return profile.select(
-        F.lit(owner).cast("string").alias("owner"),
+        *([] if owner is None else [F.lit(owner).cast("string").alias("owner")]),
         F.lit(name).alias("table_name"),
         "column_name",
         "num_rows",
@@ -172,7 +172,7 @@ def table_profile(
     Each table is read once, in one aggregation without a shuffle of its rows. Distinct values are
     estimated within ``rsd``; ``exact_distinct`` counts them instead, with a second read that
     shuffles every distinct value. ``exclude`` names tables to leave out, as names or as a DataFrame
-    with ``table_name``.
+    with ``table_name``. The first column is ``owner``, where one is given.
     """
     left_out = _excluded(tables, exclude)
     profiles = [
