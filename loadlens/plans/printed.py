@@ -242,7 +242,9 @@ def plan_tree_with_actuals(
 
     Steps never monitored join the actuals as rows without figures, found from keys alone, so that
     the wide join runs once and is an inner one: Spark can split a hot step of an inner join on
-    either side, but not the inner side of an outer join.
+    either side, but not the inner side of an outer join. Steps and actuals meet under the plan's
+    own key and the step, so tables that lie by plan can meet where they lie (see README). The
+    steps are the side a join holds in memory; idle steps come first, before actuals are sorted.
     """
     monitor = only(tables["plan_monitor"], "sql_id", sql_ids)
     if exec_id is not None:
@@ -263,8 +265,8 @@ def plan_tree_with_actuals(
     lines = only(tables["plan_line"], "sql_id", sql_ids)
     # A step without an id meets no actuals and stays.
     actuals = actuals.where("id is not null")
-    idle = lines.select(*step).distinct().join(actuals.select(*step).distinct(), step, "left_anti")
-    found = actuals.unionByName(idle, allowMissingColumns=True)
+    idle = lines.select(*step).join(actuals.select(*step).distinct(), step, "left_anti").distinct()
+    found = idle.unionByName(actuals, allowMissingColumns=True)
     found = found.withColumnsRenamed({name: f"_{name}" for name in step})
     steps = _cursors(tables, sql_ids).join(lines, _PLAN_KEY)
     steps = steps.select(
@@ -275,8 +277,9 @@ def plan_tree_with_actuals(
         "filter_predicates",
         "projection",
     )
-    same_step = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in step]
-    rows = steps.join(found, same_step).drop(*[f"_{name}" for name in step])
+    same_step = [F.col(name) == F.col(f"_{name}") for name in _PLAN_KEY]
+    same_step.append(F.col("id").eqNullSafe(F.col("_id")))
+    rows = found.join(steps, same_step).drop(*[f"_{name}" for name in step])
     return (
         _explode_lines(rows, [0, 1], "id")
         .select(

@@ -235,13 +235,28 @@ def sqlstats_delta(t: Telemetry) -> DataFrame:
 
 @_view
 def plan_line(t: Telemetry) -> DataFrame:
-    # Numbered within the plan's own key, so that a join on it needs no exchange of its own.
+    # Numbered within the plan's own key, so that a join on it needs no exchange of its own, and by all
+    # that steps are made of: ties are alike in every read, and every read moves the same columns, so
+    # Spark moves them once a query. The steps are made behind the window, so that no text is moved.
+    made_of = (
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        "l_extendedprice",
+        "l_shipdate",
+        "l_quantity",
+        "l_returnflag",
+        "l_linestatus",
+    )
     keys = ("concat('s', l_orderkey) as sql_id", "1000 + l_orderkey % 9973 as plan_hash_value")
-    return t.given("lineitem").selectExpr(*keys, "*").selectExpr(
+    numbered = t.given("lineitem").selectExpr(*keys, *made_of).selectExpr(
+        "*",
+        f"row_number() over (partition by sql_id, plan_hash_value order by {', '.join(made_of)}) as nr",
+    )
+    return numbered.selectExpr(
         "sql_id",
         "plan_hash_value",
-        "cast(row_number() over (partition by sql_id, plan_hash_value order by l_linenumber, l_partkey, "
-        "l_suppkey, l_extendedprice, l_shipdate) - 1 as int) as id",
+        "cast(nr - 1 as int) as id",
         "l_linenumber % 4 as depth",
         "concat('OP_', l_returnflag) as operation",
         "case when l_linestatus = 'F' then 'FULL' end as options",

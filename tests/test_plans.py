@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 import pytest
 
 import __spark_entry__ as entry_point
 from loadlens.operators.common import SMALL_BYTES
-from loadlens.sources import Telemetry
+from loadlens.sources import GIVEN, Telemetry
 
 SF_DIR = "/root/testdata/sf0.001"
 LARGE = {
@@ -83,6 +84,67 @@ def test_headers_are_printed_behind_the_joins(spark):
         assert ", ela = " not in below and ", lio = " not in below
 
 
+def given_plans(spark, folder):
+    """Orders 0 to 39 and their lines: ties, some lines twice, one long plan, lines without an order, null keys."""
+    day = datetime(2024, 1, 1)
+    orders = [(k, k, "O", 10.0 * k, day, "LOW") for k in range(40)]
+    # By quantity alone the first two lines of an order differ; at most 10 sends a later step elsewhere.
+    lines = [
+        (k, 7, 2, 1, float(q), 5.0, 0.0, 0.0, "A", "F", day)
+        for k in [*range(45), None]
+        for q in (3 + k if k else 30, 4, *[11] * (k % 3 if k else 0), *range(200 if k == 7 else 0))
+    ]
+    for name, rows in (("orders", orders), ("lineitem", lines)):
+        spark.createDataFrame(rows, GIVEN[name]).repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return orders, lines
+
+
+def test_steps_and_actuals_meet_where_their_plan_lies(spark, tmp_path):
+    orders, lines = given_plans(spark, tmp_path)
+    df = entry_point.queries()["plan_tree_with_actuals"](spark, str(tmp_path))
+    got = [(r.sql_id, r.plan_hash_value, r.sql_exec_id, r.id, r.starts) for r in df.collect()]
+    expected = []
+    for key in sorted((o[0] for o in orders), key=str):
+        for step, cost in enumerate(sorted(int(line[4]) for line in lines if line[0] == key)):
+            seen = cost > 10 or step == 0
+            actual = (16777216 + (1000 + key) % 3, cost) if seen else (None, None)
+            expected += [(f"s{key}", 1000 + key, actual[0], i, actual[1]) for i in ([None, 0] if step == 0 else [step])]
+    assert got == expected
+    # Cursors and lines are moved once each, before the order of the report; actuals and idle steps reuse the lines.
+    ran = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning", re.sub(r"ReusedExchange[^\n]*", "", ran))) == 2
+    assert ran.count("ReusedExchange") == 3
+
+
+def test_meeting_by_plan_or_by_step_gives_the_same_rows(spark, tmp_path):
+    given_plans(spark, tmp_path)
+    report = entry_point.plans.plan_tree_with_actuals
+    found = {}
+    try:
+        for whole in ("true", "false"):
+            spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", whole)
+            df = report(Telemetry(spark, str(tmp_path)))
+            # By step, sides that lie by nothing smaller meet in exchanges of their own, which Spark can split.
+            by_step = re.findall(r"Exchange hashpartitioning\([^\n]*plan_hash_value#\d+L, [^\n]*id#", initial_plan(df))
+            assert bool(by_step) == (whole == "true")
+            found[whole] = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+    assert found["true"] == found["false"] and len(found["true"]) > 200
+
+
+def test_other_reports_keep_joins_by_whole_keys(spark):
+    entry_point.queries()["plan_tree_with_actuals"](spark, SF_DIR)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "false"
+    entry_point.queries()["plan_lines"](spark, SF_DIR)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_steps_are_made_behind_the_window(spark):
+    plan = initial_plan(entry_point.queries()["plan_tree"](spark, SF_DIR))
+    assert "OP_" in plan and "OP_" not in plan[plan.index("Window [row_number") :]
+
+
 def test_one_plan_row_per_statement_reads_the_fact_once(spark):
     plan = initial_plan(entry_point.queries()["multi_plan_queries"](spark, SF_DIR))
     assert len(re.findall(r"FileScan parquet \[event_id", plan)) == 1
